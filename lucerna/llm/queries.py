@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lucerna.llm import sql
 from lucerna.llm.common import table
+from lucerna.llm.fingerprints import edited_fingerprints
 from lucerna.llm.line_dedup import line_dedup
 from lucerna.llm.quality_rules import quality_rules
 
@@ -22,10 +23,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("host_rate")
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_line_dedup": op3_line_dedup,
         "op7_quality_rules": op7_quality_rules,
+        "op9_document_fingerprints": op9_document_fingerprints,
     }
 
 
