@@ -11,18 +11,36 @@ from lucerna.llm import sql
 from lucerna.llm.common import table
 from lucerna.llm.fingerprints import edited_fingerprints
 from lucerna.llm.line_dedup import line_dedup
+from lucerna.llm.mixing import mixing
+from lucerna.llm.packing import best_fit_packing
 from lucerna.llm.quality_rules import quality_rules
 
 
+def vocabulary() -> str:
+    """The tokenizers file of the packing contract."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("host_rate")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("row.doc_id", "source", "size", "block", "slot", "release", "deadline", "position")
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -30,7 +48,9 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_line_dedup": op3_line_dedup,
+        "op5_best_fit_packing": op5_best_fit_packing,
         "op7_quality_rules": op7_quality_rules,
+        "op8_mixing": op8_mixing,
         "op9_document_fingerprints": op9_document_fingerprints,
     }
 
