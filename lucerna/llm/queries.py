@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from lucerna.llm import sql
 from lucerna.llm.common import table
 from lucerna.llm.fingerprints import edited_fingerprints
+from lucerna.llm.html_text import html_extraction
 from lucerna.llm.line_dedup import line_dedup
 from lucerna.llm.mixing import mixing
 from lucerna.llm.packing import best_fit_packing
 from lucerna.llm.quality_rules import quality_rules
+from lucerna.llm.url_filter import url_filter
 
 
 def vocabulary() -> str:
@@ -23,6 +25,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction(table(spark, sf_dir, "pages"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -45,13 +51,19 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_html_extraction": op2_html_extraction,
         "op3_line_dedup": op3_line_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op7_quality_rules": op7_quality_rules,
         "op8_mixing": op8_mixing,
         "op9_document_fingerprints": op9_document_fingerprints,
+        "op10_url_filters": op10_url_filters,
     }
 
 
