@@ -11,6 +11,7 @@ from lucerna.llm import sql
 from lucerna.llm.common import table
 from lucerna.llm.fingerprints import edited_fingerprints
 from lucerna.llm.html_text import html_extraction
+from lucerna.llm.language_id import language_id
 from lucerna.llm.line_dedup import line_dedup
 from lucerna.llm.mixing import mixing
 from lucerna.llm.packing import best_fit_packing
@@ -34,6 +35,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -59,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_html_extraction": op2_html_extraction,
         "op3_line_dedup": op3_line_dedup,
+        "op4_language_id": op4_language_id,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op7_quality_rules": op7_quality_rules,
         "op8_mixing": op8_mixing,
