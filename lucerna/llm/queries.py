@@ -14,6 +14,7 @@ from lucerna.llm.html_text import html_extraction
 from lucerna.llm.language_id import language_id
 from lucerna.llm.line_dedup import line_dedup
 from lucerna.llm.mixing import mixing
+from lucerna.llm.near_dedup import near_dedup
 from lucerna.llm.packing import best_fit_packing
 from lucerna.llm.quality_rules import quality_rules
 from lucerna.llm.url_filter import url_filter
@@ -43,6 +44,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("host_rate")
 
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": op3_line_dedup,
         "op4_language_id": op4_language_id,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op7_quality_rules": op7_quality_rules,
         "op8_mixing": op8_mixing,
         "op9_document_fingerprints": op9_document_fingerprints,
