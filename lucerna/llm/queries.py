@@ -17,6 +17,7 @@ from lucerna.llm.mixing import mixing
 from lucerna.llm.near_dedup import near_dedup
 from lucerna.llm.packing import best_fit_packing
 from lucerna.llm.quality_rules import quality_rules
+from lucerna.llm.substring_dedup import repeated_passages
 from lucerna.llm.url_filter import url_filter
 
 
@@ -27,6 +28,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction(table(spark, sf_dir, "pages"))
 
@@ -67,6 +72,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_html_extraction": op2_html_extraction,
         "op3_line_dedup": op3_line_dedup,
         "op4_language_id": op4_language_id,
