@@ -104,3 +104,11 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), doc_id:
     verdicts = host_verdicts(base, rules).select(F.col("host").alias("_host"), "rate", "host_ok")
     joined = base.join(verdicts, F.col("host").eqNullSafe(F.col("_host")), "left")
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("rate").alias("host_rate"), (~F.col("base_failed") & F.col("host_ok")).alias("kept"))
+
+
+def kept_rows(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", host: str = "source") -> DataFrame:
+    """The rows of ``docs``, columns unchanged, that pass their base rules and whose host does."""
+    judged = settle(base_metrics(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"), F.col(host).alias("host")), rules).select("row", "host", F.col("base.base_failed").alias("base_failed")), "quality")
+    rejected = host_verdicts(judged.select("host", "base_failed"), rules).where("not host_ok").select(F.col("host").alias("_host"))
+    passed = judged.where("not base_failed")
+    return passed.join(rejected, F.col("host").eqNullSafe(F.col("_host")), "left_anti").select("row.*")
