@@ -286,10 +286,19 @@ def _calibrated(model: Model, check: dict[str, Sequence[str]]) -> Model:
 
 
 def training_rows(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, text): the first ``sample`` texts per language by hash, none of a held-out document."""
+    """(lang, text): the first ``sample`` texts per language by hash, none of a held-out document.
+
+    A frequent language is first thinned by hash to a few times the sample, so that no task meets
+    all its rows."""
+    counts = {r["lang"]: r["count"] for r in docs.groupBy(F.col(lang).alias("lang")).count().where("lang is not null").collect()}
+    if not counts:
+        return docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).limit(0)
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4.0 * sample / n))])
+    draw = F.xxhash64("doc_id")
     open_ = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null and crc32(cast(doc_id as string)) % 4 <> 2")
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    return open_.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample).orderBy("lang", "nth").select("lang", "text")
+    thin = open_.where(draw.cast("double") / 2.0**64 + 0.5 <= F.element_at(share, F.col("lang")))
+    first = W.partitionBy("lang").orderBy(draw, "doc_id", F.xxhash64("text"))
+    return thin.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample).orderBy("lang", "nth").select("lang", "text")
 
 
 def language_id(docs: DataFrame, sample: int = SAMPLE, order: int = ORDER, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
