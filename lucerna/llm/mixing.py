@@ -18,7 +18,7 @@ rows; more than ``MAX_SOURCES`` sources are an error, as nothing may be left out
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -82,8 +82,10 @@ def mixing(
     doc_id: str = "doc_id",
     text: str = "text",
     source: str = "source",
+    carry: Sequence[str] | None = None,
 ) -> DataFrame:
-    """(row, source, size, block, slot, release, deadline, position); ``row`` has the input's columns.
+    """(row, source, size, block, slot, release, deadline, position); ``row`` has the input's columns
+    (or those to ``carry``; a text that is not carried is not shuffled).
 
     ``weights`` may leave sources out; those share what their default weights give them. Sorting by
     ``position`` gives the mixture. Where a document starts in its source's stream is a prefix sum:
@@ -91,10 +93,11 @@ def mixing(
     third of all rows has many tasks."""
     spark = docs.sparkSession
     whole = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("row"),
         F.coalesce(F.col(source), F.lit("")).alias("source"),
         F.greatest(F.coalesce(F.length(text), F.lit(1)), F.lit(1)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col(doc_id)).alias("draw"),
+        F.col(doc_id).alias("id"),
     )
     totals = {r["source"]: (r["n"], r["size"]) for r in whole.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()}
     if len(totals) > MAX_SOURCES:
@@ -112,7 +115,7 @@ def mixing(
     salted = whole.withColumn("salt", F.floor((F.col("draw").cast("double") / 2.0**64 + 0.5) * n).cast("int"))
     before = salted.groupBy("source", "salt").agg(F.sum("size").alias("sum"))
     before = before.select("source", "salt", (F.sum("sum").over(W.partitionBy("source").orderBy("salt")) - F.col("sum")).alias("before"))
-    running = W.partitionBy("source", "salt").orderBy("draw", f"row.{doc_id}", "size").rowsBetween(W.unboundedPreceding, -1)
+    running = W.partitionBy("source", "salt").orderBy("draw", "id", "size").rowsBetween(W.unboundedPreceding, -1)
     started = salted.withColumn("within", F.coalesce(F.sum("size").over(running), F.lit(0))).join(before, ["source", "salt"])
     blocks = started.withColumn("start", F.col("before") + F.col("within")).withColumn("block", F.floor(F.col("start") / block))
     placed = blocks.join(F.broadcast(plan.withColumnRenamed("source", "of")), (F.col("source") == F.col("of")) & (F.col("block") >= F.col("low")) & (F.col("block") < F.col("high")))

@@ -58,7 +58,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = mixing(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return mixed.select("row.doc_id", "source", "size", "block", "slot", "release", "deadline", "position")
 
 
