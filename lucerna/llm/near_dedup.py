@@ -6,10 +6,11 @@ put similar texts into common buckets, and the exact weighted Jaccard similarity
 Classes are the connected components of the links.
 
 A bucket is never expanded into all its pairs. Its least member leads and is compared with the
-others. One minus the weighted Jaccard similarity is a metric, so a member at some distance from the
-leader can be linked only to members within the threshold of that distance: those pairs, and the
-members that are not linked to the leader among themselves, go to the next round, less what is in
-one class already, until nothing is left to compare.
+others; what is linked to the leader is one class. Left are pairs with a member that is apart from
+its leader. In a bucket of few members they are compared as they are. The members of larger buckets
+go through an exact prefix filter: two texts can reach the threshold only if they share a shingle
+among the rarest of each that make up more than the rest of its weight. Most texts that are apart
+from the others have so much of their own that they share none.
 
 Defined results: equal texts are one class; a text without words is a class of its own; a text of
 fewer than five words has one shingle; a null doc_id is ordered last; rows under one doc_id are one
@@ -25,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lucerna.llm.common import LAST_ID, SPACES, settle
@@ -40,8 +42,8 @@ class NearDedup:
     bands: int = 20
     rows: int = 4
     seed: int = 7
-    #: Members that a leader leaves over in a bucket are compared among all at once if so few.
-    small: int = 16
+    #: Buckets of so many members at most are small.
+    small: int = 64
 
 
 @lru_cache(maxsize=2)
@@ -107,9 +109,9 @@ def word_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
         for i in range(0, len(held), 65_536):
             yield pa.RecordBatch.from_arrays([pa.array(held[i : i + 65_536], pa.int32()), pa.array(total[held[i : i + 65_536]])], ["counter", "n"])
 
-    counted = docs.select(F.col(text)).mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    counted = docs.select(F.col(text)).mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(COUNTERS)
-    out[counted["counter"].to_numpy(np.int64)] = counted["n"].to_numpy(np.float64)
+    out[counted["counter"].to_numpy()] = counted["n"].to_numpy()
     return out
 
 
@@ -156,38 +158,46 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(whole).alias("a"), F.xxhash64(F.lit("text"), whole).alias("b"), whole.alias("text"))
 
 
+def prefixes(ids: DataFrame, texts: DataFrame, rarity, p: NearDedup) -> DataFrame:
+    """(id, h): each text's rarest shingles, by frequency among ``ids``, that weigh together just more
+    than what two texts of the threshold's similarity may not share; those of no other text left out."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = batch.column(0).to_numpy()
+            for at, data, offsets in chunks(batch.column(1)):
+                w = weighted(words(data, offsets), rarity.value, p.width)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(of[at : at + len(offsets) - 1], np.diff(w.bounds))), pa.array(w.hashes.view(np.int64)), pa.array(w.weights.astype(np.float64))], ["id", "h", "w"])
+
+    spelt = settle(texts.join(ids, "id").select("id", "text").mapInArrow(spell, "id long, h long, w double"), "shingles")
+    ranked = spelt.join(spelt.groupBy("h").agg(F.count("*").alias("df")), "h")
+    own = W.partitionBy("id")
+    sums = ranked.withColumn("before", F.sum("w").over(own.orderBy("df", "h").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("w")).withColumn("all", F.sum("w").over(own))
+    return sums.where((F.col("before") <= (1 - p.similarity) * F.col("all") + 1e-6) & (F.col("df") > 1)).select("id", "h")
+
+
 def links(bands: DataFrame, texts: DataFrame, rarity, p: NearDedup) -> DataFrame:
     """(u, v, s) of links between different texts that make up all classes, from (band, id) rows."""
     sizes = bands.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    live = settle(bands.join(sizes.select("band", "lead"), "band"), "buckets")  # (band, id, lead)
-    pairs = live.where("id <> lead").select(F.col("lead").alias("u"), F.col("id").alias("v")).distinct()
-    known = settle(similarities(pairs, texts, rarity, p), "similar")
+    live = settle(bands.join(sizes, "band"), "buckets")  # (band, id, lead, n)
     enough = F.col("s") >= p.similarity - 1e-9
-    while True:
-        roots = components(known.where(enough))
-        judged = live.where("id <> lead").join(known.select(F.col("u").alias("lead"), F.col("v").alias("id"), "s"), ["lead", "id"])
-        apart = judged.where(~enough).select("band", "lead", "id", "s")
-        near = judged.where(enough).select("band", "lead", F.col("id").alias("other"), F.col("s").alias("t"))
-        reach = 1 - p.similarity
-        # those apart from the leader against those linked to it, where the triangle inequality allows a link
-        across = apart.where(F.col("s") >= p.similarity - reach).join(near, ["band", "lead"]).where(F.col("t") <= F.col("s") + reach + 1e-9).select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v"))
-        # those apart from the leader among themselves: a new leader each round, or all at once if few
-        left = settle(apart.select("band", "id"), "apart")
-        again = left.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
-        rest = settle(left.join(again, "band"), "buckets")
-        star = rest.where("id <> lead").select(F.col("lead").alias("u"), F.col("id").alias("v"))
-        few = rest.where(F.col("n") <= p.small)
-        inside = few.select("band", F.col("id").alias("u")).join(few.select("band", F.col("id").alias("v")), "band").where("u < v").select("u", "v")
-        fresh = across.unionByName(star).unionByName(inside).distinct().join(known.select("u", "v"), ["u", "v"], "left_anti")
-        root_u = roots.select(F.col("node").alias("u"), F.col("root").alias("root_u"))
-        root_v = roots.select(F.col("node").alias("v"), F.col("root").alias("root_v"))
-        open_ = settle(fresh.join(root_u, "u", "left").join(root_v, "v", "left").where("root_u is null or root_v is null or root_u <> root_v").select("u", "v"), "open")
-        if open_.isEmpty():
-            return known.where(enough)
-        known = settle(known.unionByName(similarities(open_, texts, rarity, p)), "similar")
-        live = rest.where(F.col("n") > p.small).select("band", "id", "lead")
-        if live.isEmpty():
-            return known.where(enough)
+    led = live.where("id <> lead").select(F.col("lead").alias("u"), F.col("id").alias("v")).distinct()
+    known = settle(similarities(led, texts, rarity, p), "similar")
+    roots = components(known.where(enough))
+
+    apart = settle(live.where("id <> lead").join(known.where(~enough).select(F.col("u").alias("lead"), F.col("v").alias("id")), ["lead", "id"]).select("band", "id", "n"), "apart")
+    mates = live.where((F.col("id") != F.col("lead")) & (F.col("n") <= p.small)).select("band", F.col("id").alias("v"))
+    inside = apart.where(F.col("n") <= p.small).select("band", F.col("id").alias("u")).join(mates, "band")
+    wide = apart.where(F.col("n") > p.small)
+    rare = settle(prefixes(live.join(wide.select("band").distinct(), "band").select("id").distinct(), texts, rarity, p), "prefixes")
+    probe = rare.join(wide.select("id").distinct(), "id", "left_semi").select("h", F.col("id").alias("u"))
+    sharing = probe.join(rare.select("h", F.col("id").alias("v")), "h")
+    pairs = inside.select("u", "v").unionByName(sharing.select("u", "v")).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    root_u = roots.select(F.col("node").alias("u"), F.col("root").alias("root_u"))
+    root_v = roots.select(F.col("node").alias("v"), F.col("root").alias("root_v"))
+    open_ = pairs.join(root_u, "u", "left").join(root_v, "v", "left").where("root_u is null or root_v is null or root_u <> root_v").select("u", "v").join(known.select("u", "v"), ["u", "v"], "left_anti")
+    more = similarities(open_, texts, rarity, p)
+    return known.where(enough).unionByName(more.where(enough))
 
 
 def classes(docs: DataFrame, p: NearDedup = NearDedup(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
