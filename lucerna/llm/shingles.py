@@ -13,6 +13,8 @@ WIDTH = 5
 CHUNK = 4_000_000
 #: Word document frequencies are counted in so many hashed counters.
 COUNTERS = 1 << 20
+#: How far rarity spreads the weights.
+RARITY = 0.25
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -117,7 +119,8 @@ def word_rarity(df: np.ndarray, documents: int) -> np.ndarray:
 
 
 def weighted(w: Words, rarity: np.ndarray, width: int = WIDTH) -> Weighted:
-    """TF-IDF: a shingle weighs its count in the text times (1 + mean rarity of its words) / 2.
+    """TF-IDF: a shingle weighs its count in the text times an inverse document frequency from
+    1 - ``RARITY`` to 1, by the mean rarity of its words.
 
     Rarity is that of the words, not of the shingle: near copies share their shingles, and rarity by
     shingle would make what they share light and what tells them apart heavy."""
@@ -138,4 +141,4 @@ def weighted(w: Words, rarity: np.ndarray, width: int = WIDTH) -> Weighted:
     count = np.diff(np.concatenate([at, [len(key)]]))
     # the prefix sums differ in their last bits from text to text; equal words must weigh the same
     grade = np.round(mean[order[at]] * 256) / 256
-    return Weighted(hashes[order[at]], (count * (1.0 + grade) / 2.0).astype(np.float32), np.concatenate([np.searchsorted(text[order[at]], np.arange(texts)), [len(at)]]))
+    return Weighted(hashes[order[at]], (count * (1.0 - RARITY + RARITY * grade)).astype(np.float32), np.concatenate([np.searchsorted(text[order[at]], np.arange(texts)), [len(at)]]))
