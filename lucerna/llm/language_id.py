@@ -58,6 +58,7 @@ class Words:
 
     symbols: np.ndarray
     starts: np.ndarray
+    keys: np.ndarray
     #: of every word of the chunk: its text, and which distinct word it is
     text: np.ndarray
     which: np.ndarray
@@ -73,18 +74,18 @@ def words(texts: Sequence[str]) -> Words:
     last = np.flatnonzero(is_letter & ~np.concatenate([is_letter[1:], [False]]))
     sizes = last - first + 1
     if not len(first):
-        return Words(np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return Words(np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     total = np.concatenate([[0], np.cumsum(sizes)])
     inside = code[is_letter]
     place = np.arange(len(inside)) - np.repeat(total[:-1], sizes)
     hashes = np.add.reduceat(_mix(inside) * _powers(int(sizes.max()))[place], total[:-1])
-    _, index, which = np.unique(hashes, return_index=True, return_inverse=True)
+    keys, index, which = np.unique(hashes, return_index=True, return_inverse=True)
     n = sizes[index]
     starts = np.concatenate([[0], np.cumsum(n + 2)])
     symbols = np.full(starts[-1], _END, np.uint32)
     offset = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)])[:-1], n)
     symbols[np.repeat(starts[:-1], n) + 1 + offset] = inside[np.repeat(total[index], n) + offset]
-    return Words(symbols, starts[:-1], text[first], which)
+    return Words(symbols, starts[:-1], keys, text[first], which)
 
 
 def grams(w: Words, order: int = ORDER) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -233,8 +234,42 @@ def pieces(text: str, size: int = CHUNK) -> Iterator[str]:
     yield text[at:]
 
 
-def cross_entropies(model: Model, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+class Scores:
+    """``word_scores`` that remembers words: most of a text's words were met before.
+
+    Holds up to ``most`` words, sorted by hash; new ones are merged in when there are enough."""
+
+    def __init__(self, model: Model, most: int = 1_000_000):
+        self.model, self.most = model, most
+        self.keys, self.values = np.zeros(0, np.uint64), np.zeros((0, len(model.languages) + 1))
+        self.fresh: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def of(self, w: Words) -> np.ndarray:
+        """Of each distinct word: log-probability by language, then the number of symbols."""
+        out = np.empty((len(w.keys), self.values.shape[1]))
+        at, held = _find(self.keys, w.keys)
+        out[held] = self.values[at[held]]
+        new = np.flatnonzero(~held)
+        if len(new):
+            sizes = np.diff(np.concatenate([w.starts, [len(w.symbols)]]))
+            part = np.repeat(~held, sizes)
+            starts = np.concatenate([[0], np.cumsum(sizes[new])])[:-1]
+            scores, symbols = word_scores(self.model, Words(w.symbols[part], starts, w.keys[new], new, new))
+            out[new] = np.column_stack([scores, symbols])
+            self.fresh.append((w.keys[new], out[new]))
+            if len(self.keys) < self.most and sum(len(k) for k, _ in self.fresh) > 50_000 + len(self.keys) // 4:
+                keys = np.concatenate([self.keys, *(k for k, _ in self.fresh)])
+                self.keys, index = np.unique(keys, return_index=True)
+                self.values = np.concatenate([self.values, *(v for _, v in self.fresh)])[index]
+                self.fresh = []
+            elif len(self.keys) >= self.most:
+                self.fresh = []
+        return out
+
+
+def cross_entropies(model: Model, texts: Sequence[str | None], scores: Scores | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(negative log-probability per symbol by language, symbols) of whole texts."""
+    known = scores or Scores(model)
     total, symbols = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts))
     held: list[str] = []
     owner: list[int] = []
@@ -242,11 +277,11 @@ def cross_entropies(model: Model, texts: Sequence[str | None]) -> tuple[np.ndarr
     def flush() -> None:
         if held:
             w = words(held)
-            scores, sizes = word_scores(model, w)
+            values = known.of(w)
             of = np.array(owner)[w.text]
-            symbols[:] += np.bincount(of, sizes[w.which], len(texts))
+            symbols[:] += np.bincount(of, values[w.which, -1], len(texts))
             for j in range(len(model.languages)):
-                total[:, j] += np.bincount(of, scores[w.which, j], len(texts))
+                total[:, j] += np.bincount(of, values[w.which, j], len(texts))
             held.clear()
             owner.clear()
 
@@ -313,8 +348,9 @@ def language_id(docs: DataFrame, sample: int = SAMPLE, order: int = ORDER, doc_i
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        scores = Scores(model)
         for b in batches:
-            h, symbols = cross_entropies(model, b.column(2).to_pylist())
+            h, symbols = cross_entropies(model, b.column(2).to_pylist(), scores)
             known = (symbols > 0) & bool(model.languages)
             best = h.argmin(axis=1) if model.languages else np.zeros(len(h), int)
             row = np.arange(len(h))
