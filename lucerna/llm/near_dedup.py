@@ -180,6 +180,7 @@ def links(bands: DataFrame, texts: DataFrame, rarity, p: NearDedup) -> DataFrame
     """(u, v, s) of links between different texts that make up all classes, from (band, id) rows."""
     sizes = bands.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
     live = settle(bands.join(sizes, "band"), "buckets")  # (band, id, lead, n)
+    texts = settle(texts.join(live.select("id").distinct(), "id"), "candidates")  # whole texts are shuffled once
     enough = F.col("s") >= p.similarity - 1e-9
     led = live.where("id <> lead").select(F.col("lead").alias("u"), F.col("id").alias("v")).distinct()
     known = settle(similarities(led, texts, rarity, p), "similar")
