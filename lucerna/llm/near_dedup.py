@@ -26,12 +26,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lucerna.llm.common import LAST_ID, SPACES, settle
 from lucerna.llm.components import components
-from lucerna.llm.shingles import COUNTERS, Weighted, chunks, mix, weighted, word_rarity, words
+from lucerna.llm.shingles import COUNTERS, Weighted, Words, chunks, counter_of, mix, shingle_hashes, weighted, word_rarity, words
 
 
 @dataclass(frozen=True)
@@ -94,17 +93,18 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both / union if union else 0.0
 
 
-def word_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """In how many documents each counter's words are; a fixed number of counters for any corpus."""
+def hashed_counts(docs: DataFrame, hashes, text: str = "text") -> np.ndarray:
+    """In how many texts each counter's items are; a fixed number of counters for any corpus.
+
+    ``hashes``: words of some texts -> (texts, item hashes)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for b in batches:
             for _, data, offsets in chunks(b.column(0)):
-                w = words(data, offsets)
-                counter = (w.hashes >> np.uint64(20)) & np.uint64(COUNTERS - 1)
-                of = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(w.bounds))
-                total += np.bincount((np.unique((of << np.uint64(20)) | counter) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                of, items = hashes(words(data, offsets))
+                counter = counter_of(items)
+                total += np.bincount((np.unique((of.astype(np.uint64) << np.uint64(20)) | counter) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         held = np.flatnonzero(total)
         for i in range(0, len(held), 65_536):
             yield pa.RecordBatch.from_arrays([pa.array(held[i : i + 65_536], pa.int32()), pa.array(total[held[i : i + 65_536]])], ["counter", "n"])
@@ -115,6 +115,18 @@ def word_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
     return out
 
 
+def word_counts(docs: DataFrame, text: str = "text") -> np.ndarray:
+    return hashed_counts(docs, lambda w: (np.repeat(np.arange(len(w.bounds) - 1), np.diff(w.bounds)), w.hashes), text)
+
+
+def shingle_counts(docs: DataFrame, width: int, text: str = "text") -> np.ndarray:
+    def items(w: Words) -> tuple[np.ndarray, np.ndarray]:
+        hashes, of, _ = shingle_hashes(w, width)
+        return of, hashes
+
+    return hashed_counts(docs, items, text)
+
+
 def signatures(docs: DataFrame, rarity, p: NearDedup) -> DataFrame:
     """(id, a, b, bands): two hashes of the whole text, and its band hashes (none without words)."""
 
@@ -158,29 +170,39 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(whole).alias("a"), F.xxhash64(F.lit("text"), whole).alias("b"), whole.alias("text"))
 
 
-def prefixes(ids: DataFrame, texts: DataFrame, rarity, p: NearDedup) -> DataFrame:
-    """(id, h): each text's rarest shingles, by frequency among ``ids``, that weigh together just more
-    than what two texts of the threshold's similarity may not share; those of no other text left out."""
+def prefixes(texts: DataFrame, rarity, p: NearDedup) -> DataFrame:
+    """(id, h, before, all): each text's rarest shingles, by frequency among ``texts``, that weigh together
+    just more than what two texts of the threshold's similarity may not share, with the weight of rarer
+    ones and the text's whole weight; those of no other text left out.
+
+    Any order that is one for all texts serves the filter. Hashed counters give it: they can only
+    make a shingle look more frequent than it is, which leaves nothing out."""
+    counted = texts.sparkSession.sparkContext.broadcast(shingle_counts(texts, p.width).astype(np.int32))
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of = batch.column(0).to_numpy()
+            ids = batch.column(0).to_numpy()
             for at, data, offsets in chunks(batch.column(1)):
                 w = weighted(words(data, offsets), rarity.value, p.width)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(of[at : at + len(offsets) - 1], np.diff(w.bounds))), pa.array(w.hashes.view(np.int64)), pa.array(w.weights.astype(np.float64))], ["id", "h", "w"])
+                of = np.repeat(np.arange(len(offsets) - 1), np.diff(w.bounds))
+                df = counted.value[counter_of(w.hashes).astype(np.int64)]
+                order = np.lexsort((w.hashes, df, of))
+                weight = w.weights[order].astype(np.float64)
+                summed = np.concatenate([[0.0], np.cumsum(weight)])
+                before = summed[:-1] - summed[w.bounds[:-1]][of]
+                whole = (summed[w.bounds[1:]] - summed[w.bounds[:-1]])[of]
+                kept = (before <= (1 - p.similarity) * whole + 1e-6) & (df[order] > 1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at + of[kept]]), pa.array(w.hashes[order][kept].view(np.int64)), pa.array(before[kept]), pa.array(whole[kept])], ["id", "h", "before", "all"])
 
-    spelt = settle(texts.join(ids, "id").select("id", "text").mapInArrow(spell, "id long, h long, w double"), "shingles")
-    ranked = spelt.join(spelt.groupBy("h").agg(F.count("*").alias("df")), "h")
-    own = W.partitionBy("id")
-    sums = ranked.withColumn("before", F.sum("w").over(own.orderBy("df", "h").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("w")).withColumn("all", F.sum("w").over(own))
-    return sums.where((F.col("before") <= (1 - p.similarity) * F.col("all") + 1e-6) & (F.col("df") > 1)).select("id", "h")
+    return texts.select("id", "text").mapInArrow(pick, "id long, h long, before double, all double")
 
 
 def links(bands: DataFrame, texts: DataFrame, rarity, p: NearDedup) -> DataFrame:
     """(u, v, s) of links between different texts that make up all classes, from (band, id) rows."""
     sizes = bands.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
     live = settle(bands.join(sizes, "band"), "buckets")  # (band, id, lead, n)
-    texts = settle(texts.join(live.select("id").distinct(), "id"), "candidates")  # whole texts are shuffled once
+    # whole texts are shuffled once, by a join that takes any number of candidates
+    texts = settle(texts.join(live.select("id").distinct().hint("shuffle_merge"), "id"), "candidates")
     enough = F.col("s") >= p.similarity - 1e-9
     led = live.where("id <> lead").select(F.col("lead").alias("u"), F.col("id").alias("v")).distinct()
     known = settle(similarities(led, texts, rarity, p), "similar")
@@ -190,9 +212,16 @@ def links(bands: DataFrame, texts: DataFrame, rarity, p: NearDedup) -> DataFrame
     mates = live.where((F.col("id") != F.col("lead")) & (F.col("n") <= p.small)).select("band", F.col("id").alias("v"))
     inside = apart.where(F.col("n") <= p.small).select("band", F.col("id").alias("u")).join(mates, "band")
     wide = apart.where(F.col("n") > p.small)
-    rare = settle(prefixes(live.join(wide.select("band").distinct(), "band").select("id").distinct(), texts, rarity, p), "prefixes")
-    probe = rare.join(wide.select("id").distinct(), "id", "left_semi").select("h", F.col("id").alias("u"))
-    sharing = probe.join(rare.select("h", F.col("id").alias("v")), "h")
+    crowd = live.join(wide.select("band").distinct(), "band").select("id").distinct()
+    rare = settle(prefixes(settle(texts.join(crowd, "id"), "crowd"), rarity, p), "prefixes")
+    named = rare.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    probe = named.join(wide.select("id").distinct(), "id", "left_semi")
+    side = lambda rows, x: rows.select("h", F.col("id").alias(x), F.col("root").alias(f"root_{x}"), F.col("all").alias(f"all_{x}"), (F.col("all") - F.col("before")).alias(f"most_{x}"))
+    # texts whose first common shingle stands so far down in either order share less than the threshold
+    # takes; further common shingles stand further down, so the test is exact on every one of them
+    need = p.similarity / (1 + p.similarity) * (F.col("all_u") + F.col("all_v")) - 1e-6
+    u, v = side(probe, "u"), side(named, "v")
+    sharing = u.join(v, (u["h"] == v["h"]) & (F.col("root_u") != F.col("root_v")) & (F.least("most_u", "most_v") >= need))
     pairs = inside.select("u", "v").unionByName(sharing.select("u", "v")).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     root_u = roots.select(F.col("node").alias("u"), F.col("root").alias("root_u"))
     root_v = roots.select(F.col("node").alias("v"), F.col("root").alias("root_v"))

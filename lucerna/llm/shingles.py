@@ -108,6 +108,10 @@ class Weighted:
     bounds: np.ndarray
 
 
+def counter_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(20)) & np.uint64(COUNTERS - 1)
+
+
 def word_rarity(df: np.ndarray, documents: int) -> np.ndarray:
     """Inverse document frequency by counter, scaled to 0..1.
 
@@ -128,7 +132,7 @@ def weighted(w: Words, rarity: np.ndarray, width: int = WIDTH) -> Weighted:
     texts = len(w.bounds) - 1
     if not len(hashes):
         return Weighted(np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(texts + 1, np.int64))
-    word = rarity[(w.hashes >> np.uint64(20)) & np.uint64(len(rarity) - 1)]
+    word = rarity[counter_of(w.hashes)]
     summed = np.concatenate([[0.0], np.cumsum(word, dtype=np.float64)])
     last = np.minimum(first + width, w.bounds[text + 1])
     mean = (summed[last] - summed[first]) / (last - first)
