@@ -139,10 +139,3 @@ def plugin_list(targets: DataFrame) -> DataFrame:
 def shown(rows: DataFrame, name: str) -> DataFrame:
     """The first rows of a section per target, as a viewer lists them."""
     return canonical(rows, name).where(F.col("position") <= LIMITS.rows_shown)
-
-
-def location(evidence: Column) -> Column:
-    """``path:line`` or ``path:first-last``."""
-    start, end = evidence["line_start"], evidence["line_end"]
-    lines = F.when(start.isNull() | (start == 0), "").when(end.isNull() | (end <= start), F.concat(F.lit(":"), start)).otherwise(F.concat(F.lit(":"), start, F.lit("-"), end))
-    return F.concat(evidence["path"], lines)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lucerna.functions import digests as D
 from lucerna.functions import paths as P
-from lucerna.operators import canonical, checks, coverage, extract, graph, reach, rollup, rules
+from lucerna.operators import canonical, checks, coverage, extract, graph, reach, rollup, rules, view
 from lucerna.plans import pipeline
 from lucerna.sources import tree
 from lucerna.sources.maps import from_maps, inventory_of
@@ -250,3 +250,39 @@ def test_empty_input(spark):
     contents = spark.createDataFrame([], "target_id string, path string, content binary")
     a = pipeline.analyze(contents, inventory_of(contents))
     assert a.review.collect() == [] and a.findings.collect() == [] and checks.violations(pipeline.bundle(a), only=("V7", "V16")).collect() == []
+
+
+def test_view(whole):
+    shown = {r["title"]: r for r in view.findings(whole.findings).collect()}
+    row = shown["HIGH · FACT · Invokes a privilege-elevation command"]
+    assert (row["meta"], row["evidence"]) == ("run.sh:3 · runtime · confidence high", "sudo ls")
+    assert "FILESYSTEM-PATH · DELETE · SENSITIVE" in {r["title"] for r in view.resources(whole.resources).collect()}
+    notes = {(r["title"], r["meta"]) for r in view.limitations(whole.limitations).collect()}
+    assert ("UNKNOWN · missing-manifest", "Whole scan · runtime") in notes and ("UNKNOWN · shell-parse-error", "bad.sh · unknown") in notes
+
+
+def test_listings_differ(spark, whole):
+    files = whole.inventory
+    assert tree.differences(files, files).collect() == []
+    later = files.where("path <> 'run.sh'").withColumn("size", F.when(F.col("path") == "bad.sh", 1).otherwise(F.col("size")))
+    assert rows(tree.differences(files, later), "path", "change") == [("bad.sh", "changed"), ("run.sh", "removed")]
+
+
+def test_external_inputs_and_binding(spark):
+    docs = spark.createDataFrame([("t", "audit-b", "B", bytearray(b"{}")), ("t", "audit-a", "A", bytearray(b"[]"))], "target_id string, id string, label string, document binary")
+    inputs = tree.external_input(docs)
+    assert graph.smallest_external(inputs).collect() == [("t", "audit-a")] and all(len(r["document_sha256"]) == 64 for r in inputs.collect())
+    blank = "struct<input_id:string,path:string>"
+    made = spark.sql(f"SELECT 't' AS target_id, cast(struct('', 'p') AS {blank}) AS evidence, struct(s AS evidence_source) AS provenance FROM VALUES ('target-source'), ('external-audit') AS v(s)")
+    assert rows(graph.bind_inputs(made, inputs), "evidence.input_id") == [("audit-a",), ("target",)]
+
+
+def test_unknown_reasons_order(spark):
+    unknowns = spark.createDataFrame([("t", f"u{i}", f"title {i}", "dynamic-value", "runtime", ["op"] if i == 4 else []) for i in range(6)], "target_id string, id string, title string, reason string, scope string, affected array<string>")
+    limits = spark.createDataFrame([("t", "b-code", "d", None, "unknown"), ("t", "a-code", "d", None, "runtime"), ("t", "a-code", "other", "p", "unknown")], "target_id string, code string, description string, path string, scope string")
+    errors = spark.createDataFrame([("t", "read-file", "m", "p"), ("t", "read-file", "n", "q")], "target_id string, code string, message string, path string")
+    got = [r["title"] for r in rollup.unknown_reasons(unknowns, limits, errors).first()["unknown_reasons"]]
+    assert got == ["Scan error: read-file", "title 4", "title 0", "title 1", "title 2", "title 3", "title 5", "Analysis limitation: a-code"]
+    none = errors.limit(0)
+    assert rollup.unknown_level(unknowns.where("id = 'u0'"), limits.limit(0), none).first()["unknown_level"] == "moderate"
+    assert rollup.unknown_level(unknowns, limits, none).first()["unknown_level"] == "high"
