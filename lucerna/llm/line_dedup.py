@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import LAST_ID, SPACES, let
+from lucerna.llm.common import LAST_ID, SPACES, let, settle
 
 #: A-Z lower-cased, nothing else.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,11 +41,13 @@ def dropped_lines(docs: DataFrame, min_chars: int = 10, salts: int = 64, doc_id:
     is spread over ``salts`` ranges: first occurrences are streamed per (key, salt), at most
     ``salts`` of them meet per key, and the verdict returns to the (key, salt) ranges."""
     keyed = F.transform(lines_of(F.col("text")), line_key)
-    lines = (
+    # settled, as three branches read it: texts are split and hashed once
+    lines = settle(
         identified(docs, doc_id, text)
         .select("id", "body", F.posexplode(keyed).alias("pos", "key"))
         .where(F.length("key") >= min_chars)
-        .select(F.xxhash64("key").alias("h"), F.xxhash64(F.lit("line"), "key").alias("g"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"), "id", "body", "pos")
+        .select(F.xxhash64("key").alias("h"), F.xxhash64(F.lit("line"), "key").alias("g"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt"), "id", "body", "pos"),
+        "lines",
     )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = lines.repartitionByRange(parts, "h", "g", "salt").sortWithinPartitions("h", "g", "salt", "id", "pos")
