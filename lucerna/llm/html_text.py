@@ -32,7 +32,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words in class, id and role names that stand for page furniture.
 HINTS = frozenset(
     "ad ads adv advert advertisement adverts adsense adslot advertising sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription "
-    "signup login signin sidebar sidebars rail widget widgets related recommended recommendations share sharing social menu menus nav navbar navigation navigational breadcrumb breadcrumbs pagination pager toolbar topbar footer header masthead comment "
+    "signup login signin sidebar sidebars rail widget widgets related recommended recommendations share sharing social menu menus nav navbar navigation navigational breadcrumb breadcrumbs pagination pager toolbar topbar footer comment "
     "comments commentlist commentary disqus reply replies respond discussion form search copyright legal disclaimer skip toc tags author byline complementary contentinfo teaser outbrain taboola paywall".split()
 )
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
@@ -58,6 +58,8 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
+#: Names that make an element a header: its heading may be the article's, the rest is not.
+HEADERS = frozenset("header masthead".split())
 #: Words that a wrapper around a whole page may have beside a hint, as in "layout with-sidebar".
 WRAPPERS = frozenset("content main layout page wrapper wrap container has with site grid row columns inner".split())
 
@@ -72,7 +74,7 @@ def _names(attributes: str) -> frozenset[str]:
 def blocks_of(page: str) -> list[Block]:
     """The page's flat text blocks in order; scripts, styles and markup are gone."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open block elements: (name, hinted, hinted even around an article)
+    stack: list[tuple[str, bool, bool, bool]] = []  # open block elements: (name, header, hinted, hinted even around an article)
     pieces: list[str] = []
     linked: list[str] = []
     in_link = False
@@ -82,7 +84,7 @@ def blocks_of(page: str) -> list[Block]:
         if pieces:
             text = " ".join(references.unescape("".join(pieces)).split())
             if text:
-                names = [n for n, _, _ in stack]
+                names = [n for n, *_ in stack]
                 inside = next((i for i in range(len(names) - 1, -1, -1) if names[i] in CONTENT), -1)
                 found.append(
                     Block(
@@ -91,8 +93,8 @@ def blocks_of(page: str) -> list[Block]:
                         len(references.unescape(" ".join(linked)).split()),
                         names[-1] if names else "",
                         any(n in FURNITURE for n in names),
-                        "header" in names,
-                        any(firm if i < inside else hinted for i, (_, hinted, firm) in enumerate(stack)),
+                        any(header for _, header, _, _ in stack),
+                        any(firm if i < inside else hinted for i, (_, _, hinted, firm) in enumerate(stack)),
                         inside >= 0,
                     )
                 )
@@ -136,12 +138,12 @@ def blocks_of(page: str) -> list[Block]:
                 if stack and stack[-1][0] == "p" or stack and stack[-1][0] == name and name in ("li", "dd", "dt", "tr", "td", "th"):
                     stack.pop()
                 if name in CONTENT:  # page furniture that was left open doesn't hold the article
-                    while stack and (stack[-1][0] in FURNITURE or stack[-1][0] in ("header", "ul", "ol", "li")):
+                    while stack and (stack[-1][0] in FURNITURE or stack[-1][1] or stack[-1][0] in ("ul", "ol", "li")):
                         stack.pop()
                 if name not in VOID:
                     names = _names(m[3]) if name not in ("html", "body") else frozenset()
                     hinted = not names.isdisjoint(HINTS)
-                    stack.append((name, hinted, hinted and names.isdisjoint(WRAPPERS)))
+                    stack.append((name, name == "header" or not names.isdisjoint(HEADERS), hinted, hinted and names.isdisjoint(WRAPPERS)))
     close()
     for i, b in enumerate(found):
         before, after = (found[i - 1] if i else None), (found[i + 1] if i + 1 < len(found) else None)

@@ -346,6 +346,28 @@ def test_main_text(spark):
     assert html_text.html_extraction(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+@pytest.mark.parametrize(
+    ("markup", "kept"),
+    [
+        ('<div class="entry-header"><h1>Head</h1><p class="byline">By me</p></div>', "Head"),
+        ('<div role="navigation"><p>x</p></div>', ""),
+        ('<div id="disqus_thread"><p>a comment of some words</p></div>', ""),
+        ('<section class="relatedPosts"><h2>More</h2><p>text text text</p></section>', ""),
+        ('<div class="newsletter-signup"><p>Join our list today please</p></div>', ""),
+        ('<p class="badge">words in a badge</p>', "words in a badge"),
+        ("<blockquote>said <i>so</i></blockquote>", "said so"),
+        ("<noscript><p>enable</p></noscript><button>go</button><select><option>1</select>", ""),
+        ("<p>a &lt;b&gt; &#x41;&nbsp; c</p>", "a <b> A c"),
+        ("<p>a<!-- hidden <p>x</p> -->b</p>", "ab"),
+        ("<p title='x>y'>q</p>", "q"),
+    ],
+)
+def test_blocks_of_an_article(markup, kept):
+    tree = html_text.train()
+    page = f"<html><body><nav><a>x</a></nav><article><p>First words.</p>{markup}<p>Last words.</p></article><footer>f</footer></body></html>"
+    assert html_text.main_text(page, tree).split("\n") == ["First words.", *([kept] if kept else []), "Last words."]
+
+
 def test_pages_without_an_article_element():
     tree = html_text.train()
     page = "<body><div class=menu><a>x</a></div><ul><li><a>one</a><li><a>two</a><li><a>three</a></ul><h1>Head of it</h1><p>A paragraph of plain words without links at all.<p>Another paragraph of words.</body>"
