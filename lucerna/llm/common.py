@@ -1,36 +1,18 @@
-"""What the training-data operators share: shared-folder materialisation and small Column helpers."""
+"""What the training-data operators share: small Column helpers, fixed values and table reading."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lucerna.functions.shared import settle  # noqa: F401  shared by the operators here
+
 #: The white space of every contract: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 #: Stands for a null doc_id where documents are ordered: after all others.
 LAST_ID = 9223372036854775807
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where the cluster
-    names one; else (tests, a single machine) a folder beside the warehouse."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    Cuts lineage with files that outlive any executor, and makes whatever was random or costly
-    above it happen once. Each call writes a new folder; the job that owns the shared folder
-    clears it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row.
 
