@@ -256,6 +256,14 @@ def test_passages(spark):
     assert substring_dedup.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_passages_of_texts_that_go_round(spark):
+    own = lambda i: " ".join(f"d{i}w{k}" for k in range(40))
+    docs = [(1, own(1) + " ha" * 120), (2, "x y " + own(2) + " ha" * 90 + " end"), (3, own(3) + " one two three four five six seven" * 20), (4, own(4) + " one two three four five six seven" * 15), (5, own(5) + " ha" * 20)]
+    out = substring_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in out} == {(2, 1), (4, 3)}
+    assert max(r["end"] - r["start"] for r in out if r["doc_id"] == 2) >= 85 and max(r["end"] - r["start"] for r in out if r["doc_id"] == 4) >= 100
+
+
 def test_chains_are_best():
     """The Fenwick tree finds the same best value as all pairs do."""
     p = substring_dedup.Passages(shift=10**6)
