@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from lucerna.llm.common import SPACES, let, settle, words_of
 
 SYMBOLS = "#*$%&|<>"
+#: So many rejected hosts at most are broadcast; more meet the documents in a shuffled join.
+BROADCAST_HOSTS = 10_000
 
 
 @dataclass(frozen=True)
@@ -109,6 +111,8 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), doc_id:
 def kept_rows(docs: DataFrame, rules: QualityRules = QualityRules(), text: str = "text", host: str = "source") -> DataFrame:
     """The rows of ``docs``, columns unchanged, that pass their base rules and whose host does."""
     judged = settle(base_metrics(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"), F.col(host).alias("host")), rules).select("row", "host", F.col("base.base_failed").alias("base_failed")), "quality")
-    rejected = host_verdicts(judged.select("host", "base_failed"), rules).where("not host_ok").select(F.col("host").alias("_host"))
+    rejected = settle(host_verdicts(judged.select("host", "base_failed"), rules).where("not host_ok").select(F.col("host").alias("_host")), "rejected")
+    if rejected.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+        rejected = F.broadcast(rejected)
     passed = judged.where("not base_failed")
     return passed.join(rejected, F.col("host").eqNullSafe(F.col("_host")), "left_anti").select("row.*")
