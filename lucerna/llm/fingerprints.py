@@ -25,8 +25,8 @@ from lucerna.llm.common import LAST_ID, let, settle
 #: Sizes of the lexicon subsets: a subset of n bits keeps the terms whose hash is 0 in n bits of its
 #: own, a share 2 ** -n. Texts of any length thus have subsets that hold only a few of their terms,
 #: which is where a partial edit can leave a hash as it was. The first subset is the whole lexicon.
-#: The two rows take their bits from two independent hashes, no bit twice.
-SUBSET_BITS = ((0, 5, 5, 5, 6, 6, 6, 6, 6, 7, 8), (7, 7, 7, 7, 8, 8, 8, 9))
+#: The rows take their bits from independent hashes, no bit twice.
+SUBSET_BITS = ((0, 5, 5, 5, 6, 6, 6, 6, 6, 7, 8), (7, 7, 7, 7, 8, 8, 8, 9), (3, 4, 4, 9, 10, 10, 10, 11))
 
 
 @dataclass(frozen=True)
@@ -76,15 +76,17 @@ def fingerprint(text: Column, in_lexicon) -> Column:
 
         return [let(kept(sum(bits[:k]), n), lambda s: F.when(F.size(s) == 0, F.lit("-")).otherwise(F.lower(F.hex(F.xxhash64(s))))) for k, n in enumerate(bits)]
 
-    def signed(hashes: Column) -> Column:
-        again = F.transform(hashes, lambda h: F.xxhash64(h))
-        return F.concat_ws(":", *subsets(hashes, SUBSET_BITS[0]), let(again, lambda g: F.concat_ws(":", *subsets(g, SUBSET_BITS[1]))))
+    def signed(hashes: Column, rows: tuple[tuple[int, ...], ...] = SUBSET_BITS) -> Column:
+        own = subsets(hashes, rows[0])
+        if len(rows) > 1:
+            own.append(let(F.transform(hashes, lambda h: F.xxhash64(h)), lambda again: signed(again, rows[1:])))
+        return F.concat_ws(":", *own)
 
     def banded(terms: Column) -> Column:
         own = F.filter(terms, lambda t: in_lexicon(F.xxhash64(t)))
         return let(own, lambda o: F.transform(F.array_sort(F.when(F.size(o) == 0, terms).otherwise(o)), lambda t: F.xxhash64(t)))
 
-    return let(let(terms_of(text), banded), signed)
+    return let(let(terms_of(text), banded), lambda hashes: signed(hashes))
 
 
 def likeness(a: Column, b: Column) -> Column:
