@@ -148,7 +148,7 @@ def similarities(pairs: DataFrame, texts: DataFrame, rarity, p: NearDedup) -> Da
     """(u, v, s) of candidate pairs: the exact weighted Jaccard similarity of their whole texts."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
             sides: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
             for side, column in zip(sides, (2, 3), strict=True):
                 for _, data, offsets in chunks(batch.column(column)):
@@ -199,7 +199,8 @@ def prefixes(texts: DataFrame, rarity, p: NearDedup) -> DataFrame:
 
 def links(bands: DataFrame, texts: DataFrame, rarity, p: NearDedup) -> DataFrame:
     """(u, v, s) of links between different texts that make up all classes, from (band, id) rows."""
-    sizes = bands.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    # settled before it is joined: only a join of two plain shuffles can split a hot bucket's partition
+    sizes = settle(bands.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1"), "sizes")
     live = settle(bands.join(sizes, "band"), "buckets")  # (band, id, lead, n)
     # whole texts are shuffled once, by a join that takes any number of candidates
     texts = settle(texts.join(live.select("id").distinct().hint("shuffle_merge"), "id"), "candidates")
@@ -253,7 +254,7 @@ def near_dedup(docs: DataFrame, p: NearDedup = NearDedup(), doc_id: str = "doc_i
 
 def keep_one(docs: DataFrame, p: NearDedup = NearDedup(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, columns unchanged, that stand for their class; of repeated rows, one."""
-    gone = classes(docs, p, doc_id, text).where("id <> class_id").select("id", "a", "b").distinct()
+    gone = classes(docs, p, doc_id, text).where("id <> class_id").select("id", "a", "b")
     whole = F.coalesce(F.col(text), F.lit(""))
     tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(whole).alias("a"), F.xxhash64(F.lit("text"), whole).alias("b"), (F.btrim(whole, F.lit(SPACES)) == "").alias("bare"))
     stay = tagged.join(gone, ["id", "a", "b"], "left_anti")

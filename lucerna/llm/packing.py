@@ -41,29 +41,39 @@ def encoder(vocabulary: str):
 
     A rank file of the same name beside it (``.tiktoken``) holds the same vocabulary for a faster
     encoder with equal ids; texts with a special token's string go to the tokenizers file itself."""
+    import json
     from pathlib import Path
 
     import tiktoken
-    from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(vocabulary)
     ranks = Path(vocabulary).with_suffix(".tiktoken")
     if not ranks.exists():
-        return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, "<u4")
+        return lambda text: _exact(vocabulary, text)
     from public_tokenizers import PATTERN
 
     pairs = (line.split() for line in ranks.read_bytes().splitlines())
     fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
-    special = tuple(t.content for t in slow.get_added_tokens_decoder().values())
+    special = tuple(t["content"] for t in json.loads(Path(vocabulary).read_text())["added_tokens"])
 
     def encode(text: str) -> np.ndarray:
         if any(s in text for s in special):
-            return np.array(slow.encode(text, add_special_tokens=False).ids, "<u4")
+            return _exact(vocabulary, text)
         return np.array(fast.encode_ordinary(text), "<u4")
 
     return encode
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(vocabulary: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary)
+
+
+def _exact(vocabulary: str, text: str) -> np.ndarray:
+    return np.array(_tokenizer(vocabulary).encode(text, add_special_tokens=False).ids, "<u4")
+
+
 def piece_bounds(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, end) of each piece: all have the capacity but the first, which may be shorter."""
     first = (length - 1) % capacity + 1

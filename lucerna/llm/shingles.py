@@ -10,7 +10,7 @@ import pyarrow as pa
 
 WIDTH = 5
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 #: Word document frequencies are counted in so many hashed counters.
 COUNTERS = 1 << 20
 #: How far rarity spreads the weights.
