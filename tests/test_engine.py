@@ -286,3 +286,35 @@ def test_unknown_reasons_order(spark):
     none = errors.limit(0)
     assert rollup.unknown_level(unknowns.where("id = 'u0'"), limits.limit(0), none).first()["unknown_level"] == "moderate"
     assert rollup.unknown_level(unknowns, limits, none).first()["unknown_level"] == "high"
+
+
+def test_unbound_external_input_needs_an_unknown(spark, whole):
+    b = pipeline.bundle(whole)
+    outside = b["inputs"].limit(1).select("target_id", F.lit("audit-1").alias("id"), F.lit("external-audit").alias("type"), F.lit("audit").alias("label"), F.repeat(F.lit("a"), 64).alias("document_sha256"), F.lit("").alias("subject_root_digest"), F.lit(checks.EXTERNAL_FORMAT).alias("format"), F.lit(checks.EXTERNAL_VERSION).alias("version"))
+    more = b | {"inputs": b["inputs"].unionByName(outside)}
+    assert checks.violations(more, only=("V5",)).collect() == []
+    assert [r["detail"] for r in checks.violations(more, only=("V15",)).collect()] == ["audit-1"]
+
+
+def test_comparison_semantics(spark, whole):
+    b = pipeline.bundle(whole)
+    ops = b["operations"].where("target_id = 't'").orderBy("id").limit(2).collect()
+    a, z = sorted(o["reference"] for o in ops)
+    edge = spark.createDataFrame([("t", "duplicates", "operation", a, "operation", z, ("operation", "command\x00x"))], "target_id string, type string, from_kind string, `from` string, to_kind string, `to` string, basis struct<kind:string,subject:string>")
+    made = graph._edges(edge, F.col("basis"))
+    found = checks.violations(b | {"relationships": b["relationships"].unionByName(made)}, only=("V16", "V17"))
+    assert {r["check_id"] for r in found.collect()} == {"V17"}
+
+
+def test_policy_must_match_exactly(spark, whole):
+    b = pipeline.bundle(whole)
+    limits = F.struct(F.lit(268435456).cast("long").alias("memory_max_bytes"), F.lit(0).cast("long").alias("memory_swap_bytes"), F.lit(64).alias("tasks_max"), F.lit(100).alias("cpu_quota_percent"), F.lit(30).alias("wall_time_seconds"))
+    held = b | {"scan": b["scan"].withColumn("resource_limits", limits).withColumn("sandboxed", F.lit(True))}
+    assert checks.violations(held, only=("V3",)).collect() == []
+    assert checks.policy(held, {"tasks_max": 64, "cpu_quota_percent": 100}).collect() == []
+    assert len(checks.policy(held, {"tasks_max": 65}).collect()) == 2 and len(checks.policy(b, {"tasks_max": 64}).collect()) == 2
+
+
+def test_first_violation_follows_the_fixed_order(spark):
+    found = spark.createDataFrame([("t", "V9", 9, "b"), ("t", "V3", 3, "z"), ("t", "V3", 3, "a"), ("u", "V1", 1, "x")], "target_id string, check_id string, ordinal int, detail string")
+    assert rows(checks.first_violation(found), "target_id", "check_id", "detail") == [("t", "V3", "a"), ("u", "V1", "x")]
