@@ -35,7 +35,9 @@ TEMPLATES = (
 def templated(lineitem: DataFrame) -> DataFrame:
     """(target_id, path, content, template): one file for each distinct order and line number."""
     n = len(TEMPLATES)
-    files = lineitem.select("l_orderkey", "l_linenumber").distinct()
+    # dealt by number: keys are small and would be merged by size, but parsing what follows is not
+    parts = int(lineitem.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = lineitem.select("l_orderkey", "l_linenumber").repartition(parts, "l_orderkey", "l_linenumber").distinct()
     t = ((F.col("l_orderkey") * 7 + F.col("l_linenumber") * 5) % n).cast("int")
     suffixes, programs = (F.array(*[F.lit(x[i]) for x in TEMPLATES]) for i in (0, 1))
     folder = F.when(F.col("l_linenumber") == 7, "tests/").otherwise("")
