@@ -46,6 +46,7 @@ def analyze(contents: DataFrame, inventory: DataFrame, limitations: DataFrame |
 
     What several branches need is settled once: parsed facts, reachability, and scoped rows."""
     spark = contents.sparkSession
+    inventory = settle(inventory, "listing")
     targets = (inventory.select("target_id") if targets is None else targets.select("target_id")).distinct()
     found, ops = extracted(contents)
     manifests = settle(extract.manifests(contents), "manifests")
