@@ -1,14 +1,17 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 A source's documents, in a seeded random order, form a stream that is cut into blocks of equal
-size. One slot emits one block. In a period of L slots a source of weight q gets q blocks; its i-th
-has the release time floor(i * L / q) and the deadline ceil((i + 1) * L / q), and the released block
-with the earliest deadline goes first. The weights sum to L, so every block meets its window and
-each source stays within one block of its exact share at every slot.
+size. One slot emits one block. At any time the sources that are not used up share the slots by their
+target weights; ``F(v)``, the blocks that all have emitted by then, is the sum of min(n, q * v) over
+sources of n blocks and weight q. The i-th block of a source has the release time floor(F(i / q)) and
+the deadline ceil(F((i + 1) / q)), and the released block with the earliest deadline goes first. All
+slots up to the last are used, so every block meets its window and each source stays within one block
+of its exact share at every slot, also where others run out.
 
-Periods repeat, so only one period of each phase is scheduled, whatever the corpus: a phase lasts
-until a source has less than a period's blocks left; a last period with what is left follows, and
-the next phase goes on without the sources that ran out. All documents are kept, each once.
+Weights are whole numbers, so no window goes beyond a whole ``v``, and what lies between two is one
+period. Periods of the same sources repeat, so only one of each phase is scheduled, whatever the
+corpus: a phase lasts until a source has less than a period's blocks left; a period in which sources
+run out follows, and the next phase goes on without them. All documents are kept, each once.
 
 Defined results: a null source and an empty one are one source; a null or empty text has size 1; a
 null doc_id is ordered like any value; rows that repeat are placed each; an empty table gives no
@@ -18,7 +21,9 @@ rows; more than ``MAX_SOURCES`` sources are an error, as nothing may be left out
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -32,28 +37,54 @@ RESOLUTION = 1_000
 ALPHA = 0.5
 
 
-def period(quotas: Mapping[str, int]) -> dict[str, list[int]]:
-    """Earliest deadline first over one period: the slots of each source's blocks."""
-    length = sum(quotas.values())
+def windows(quotas: Mapping[str, int], parts: Mapping[str, int]) -> dict[str, tuple[list[int], list[int]]]:
+    """(releases, deadlines) of each source's ``quotas`` blocks in a period; where a source has less
+    than its ``parts``, the others share the rest of the period by theirs."""
+    ends = sorted((quotas[s] / parts[s], s) for s in quotas)
+    until = [v for v, _ in ends]
+    done = [0, *accumulate(quotas[s] for _, s in ends)]
+    gone = [0, *accumulate(parts[s] for _, s in ends)]
+
+    def emitted(i: int, q: int) -> tuple[int, int]:
+        """Floor and ceiling of F(i / q); F is continuous, so a tie may take either side."""
+        at = min(bisect_left(until, i / q), len(until) - 1)
+        whole, rest = divmod((gone[-1] - gone[at]) * i, q)
+        return done[at] + whole, done[at] + whole + (rest > 0)
+
+    out = {}
+    for s, n in quotas.items():
+        edges = [emitted(i, parts[s]) for i in range(n + 1)]
+        out[s] = [x for x, _ in edges[:-1]], [x for _, x in edges[1:]]
+    return out
+
+
+def scheduled(quotas: Mapping[str, int], opens: Mapping[str, tuple[list[int], list[int]]]) -> dict[str, list[int]]:
+    """Earliest deadline first within the windows ``opens``: the slots of each source's blocks."""
     slots: dict[str, list[int]] = {s: [] for s in quotas}
     coming = [(0, s) for s in sorted(quotas) if quotas[s]]  # (release, source) of each next block
     heapq.heapify(coming)
     ready: list[tuple[int, str]] = []
-    for now in range(length):
+    for now in range(sum(quotas.values())):
         while coming and coming[0][0] <= now:
             _, s = heapq.heappop(coming)
-            heapq.heappush(ready, (-(-(len(slots[s]) + 1) * length // quotas[s]), s))
+            heapq.heappush(ready, (opens[s][1][len(slots[s])], s))
         deadline, s = heapq.heappop(ready)
         if deadline <= now:
             raise AssertionError("a block missed its deadline")
         slots[s].append(now)
         if len(slots[s]) < quotas[s]:
-            heapq.heappush(coming, (len(slots[s]) * length // quotas[s], s))
+            heapq.heappush(coming, (opens[s][0][len(slots[s])], s))
     return slots
 
 
-def phases(blocks: Mapping[str, int], parts: Mapping[str, int]) -> list[tuple[str, int, int, int, int, int, list[int]]]:
-    """(source, first block, end block, quota, first slot, period length, slots in a period)."""
+def period(quotas: Mapping[str, int], parts: Mapping[str, int] | None = None) -> dict[str, list[int]]:
+    """The slots of each source's blocks in one period; without ``parts`` no source runs out."""
+    return scheduled(quotas, windows(quotas, parts or quotas))
+
+
+def phases(blocks: Mapping[str, int], parts: Mapping[str, int]) -> list[tuple[str, int, int, int, int, int, list[int], list[int], list[int]]]:
+    """(source, first block, end block, quota, first slot, period length, slots, releases, deadlines
+    in a period)."""
     left, used, now, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
     while left:
         whole = min(left[s] // parts[s] for s in left)
@@ -62,8 +93,9 @@ def phases(blocks: Mapping[str, int], parts: Mapping[str, int]) -> list[tuple[st
             if not times or not quotas:
                 continue
             length = sum(quotas.values())
-            for s, slots in period(quotas).items():
-                out.append((s, used[s], used[s] + times * quotas[s], quotas[s], now, length, slots))
+            opens = windows(quotas, parts)
+            for s, slots in scheduled(quotas, opens).items():
+                out.append((s, used[s], used[s] + times * quotas[s], quotas[s], now, length, slots, *opens[s]))
                 used[s] += times * quotas[s]
             now += times * length
         left = {s: blocks[s] - used[s] for s in left if blocks[s] > used[s]}
@@ -109,7 +141,7 @@ def mixing(
     parts = {s: max(1, round(resolution * w / every)) for s, w in shares.items()}
     planned = phases({s: -(-size // block) for s, (_, size) in totals.items()}, parts)
     # at most 2 * MAX_SOURCES rows a source, whatever the corpus
-    plan = spark.createDataFrame(planned, "source string, low long, high long, quota long, base long, length long, slots array<int>")
+    plan = spark.createDataFrame(planned, "source string, low long, high long, quota long, base long, length long, slots array<int>, releases array<int>, deadlines array<int>")
 
     n = max(salts, -(-max((k for k, _ in totals.values()), default=0) // rows_per_salt))
     salted = whole.withColumn("salt", F.floor((F.col("draw").cast("double") / 2.0**64 + 0.5) * n).cast("int"))
@@ -129,7 +161,7 @@ def mixing(
         "size",
         "block",
         slot.alias("slot"),
-        (at + F.floor(k * F.col("length") / F.col("quota"))).alias("release"),
-        (at + F.ceil((k + 1) * F.col("length") / F.col("quota"))).alias("deadline"),
+        (at + F.get("releases", k.cast("int"))).alias("release"),
+        (at + F.get("deadlines", k.cast("int"))).alias("deadline"),
         (slot * block + F.col("start") % block).alias("position"),
     )

@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -114,6 +115,45 @@ def test_mixing_places_every_row_once(spark):
     assert mixing.mixing(df.limit(0)).collect() == []
 
 
+def shares(blocks, parts):
+    """Each source's exact share after every slot, with run-outs: fluid service by target weights."""
+    total, t, have, out = sum(blocks.values()), 0, dict.fromkeys(blocks, Fraction(0)), []
+    while t < total:
+        left = Fraction(1)
+        while left:
+            live = {s: parts[s] for s in blocks if have[s] < blocks[s]}
+            step = min([left, *((blocks[s] - have[s]) * sum(live.values()) / Fraction(q) for s, q in live.items())])
+            for s, q in live.items():
+                have[s] += step * q / sum(live.values())
+            left -= step
+        t += 1
+        out.append(dict(have))
+    return out
+
+
+@pytest.mark.parametrize("blocks, parts", [({"a": 300, "b": 100}, {"a": 500, "b": 500}), ({"a": 2, "b": 3, "c": 3}, {"a": 50, "b": 500, "c": 450}), ({"hot": 400} | {f"s{i}": 20 + i % 3 for i in range(19)}, {"hot": 139} | {f"s{i}": 45 for i in range(19)}), ({"a": 25, "b": 7, "c": 1}, {"a": 3, "b": 4, "c": 5})])
+def test_targets_hold_at_every_slot(blocks, parts):
+    order = {}
+    for s, low, high, quota, base, length, slots, releases, deadlines in mixing.phases(blocks, parts):
+        for i in range(low, high):
+            turn, k = divmod(i - low, quota)
+            slot = base + turn * length + slots[k]
+            assert slot not in order and releases[k] <= slots[k] < deadlines[k]
+            order[slot] = s
+    assert sorted(order) == list(range(sum(blocks.values())))
+    got = dict.fromkeys(blocks, 0)
+    for t, exact in enumerate(shares(blocks, parts)):
+        got[order[t]] += 1
+        assert all(abs(got[s] - exact[s]) < 1 for s in blocks)
+
+
+def test_small_corpora_follow_targets(spark):
+    rows = [(i, "x" * 100, "en", "a" if i < 300 else "b") for i in range(400)]
+    out = mixing.mixing(spark.createDataFrame(rows, DOCS), {"a": 1, "b": 1}, block=100).orderBy("position").collect()
+    got = [r["source"] for r in out]
+    assert all(abs(2 * got[:t].count("b") - t) <= 2 for t in range(200)) and set(got[200:]) == {"a"}
+
+
 # near-duplicates
 
 
