@@ -15,7 +15,7 @@ run out follows, and the next phase goes on without them. All documents are kept
 
 Defined results: a null source and an empty one are one source; a null or empty text has size 1; a
 null doc_id is ordered like any value; rows that repeat are placed each; an empty table gives no
-rows; more than ``MAX_SOURCES`` sources are an error, as nothing may be left out.
+rows; the number of sources is not limited.
 """
 
 from __future__ import annotations
@@ -25,14 +25,17 @@ from bisect import bisect_left
 from collections.abc import Mapping, Sequence
 from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_SOURCES = 256
 BLOCK = 65_536
-#: Weights are whole parts of so many.
+#: Weights are whole parts of so many, or of ``LEAST_PARTS`` a source where that is more.
 RESOLUTION = 1_000
+LEAST_PARTS = 100
+#: A plan of so many rows at most is broadcast.
+BROADCAST_PLAN = 100_000
 #: Without target weights, a source weighs its size to this power.
 ALPHA = 0.5
 
@@ -131,17 +134,21 @@ def mixing(
         F.xxhash64(F.lit(seed), F.col(doc_id)).alias("draw"),
         F.col(doc_id).alias("id"),
     )
-    totals = {r["source"]: (r["n"], r["size"]) for r in whole.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()}
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
+    # one row a source; no number of sources is too many
+    summed = whole.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")).toArrow().to_pydict()
+    totals = {s: (n, size) for s, n, size in zip(summed["source"], summed["n"], summed["size"], strict=True)}
     own = {s: size**alpha for s, (_, size) in totals.items()}
     rest = sum(own.values()) or 1.0
     shares = {s: (weights or {}).get(s, own[s] / rest) for s in totals}
     every = sum(shares.values()) or 1.0
+    resolution = max(resolution, LEAST_PARTS * len(totals))
     parts = {s: max(1, round(resolution * w / every)) for s, w in shares.items()}
     planned = phases({s: -(-size // block) for s, (_, size) in totals.items()}, parts)
-    # at most 2 * MAX_SOURCES rows a source, whatever the corpus
-    plan = spark.createDataFrame(planned, "source string, low long, high long, quota long, base long, length long, slots array<int>, releases array<int>, deadlines array<int>")
+    # for each source at most two rows a phase, whatever the corpus; a phase ends with a source
+    kinds = {"source": pa.string(), "low": pa.int64(), "high": pa.int64(), "quota": pa.int64(), "base": pa.int64(), "length": pa.int64()} | dict.fromkeys(("slots", "releases", "deadlines"), pa.list_(pa.int32()))
+    plan = spark.createDataFrame(pa.table([pa.array([r[i] for r in planned], t) for i, t in enumerate(kinds.values())], names=list(kinds))).withColumnRenamed("source", "of")
+    if len(planned) <= BROADCAST_PLAN:
+        plan = F.broadcast(plan)
 
     n = max(salts, -(-max((k for k, _ in totals.values()), default=0) // rows_per_salt))
     salted = whole.withColumn("salt", F.floor((F.col("draw").cast("double") / 2.0**64 + 0.5) * n).cast("int"))
@@ -150,7 +157,7 @@ def mixing(
     running = W.partitionBy("source", "salt").orderBy("draw", "id", "size").rowsBetween(W.unboundedPreceding, -1)
     started = salted.withColumn("within", F.coalesce(F.sum("size").over(running), F.lit(0))).join(before, ["source", "salt"])
     blocks = started.withColumn("start", F.col("before") + F.col("within")).withColumn("block", F.floor(F.col("start") / block))
-    placed = blocks.join(F.broadcast(plan.withColumnRenamed("source", "of")), (F.col("source") == F.col("of")) & (F.col("block") >= F.col("low")) & (F.col("block") < F.col("high")))
+    placed = blocks.join(plan, (F.col("source") == F.col("of")) & (F.col("block") >= F.col("low")) & (F.col("block") < F.col("high")))
     nth = F.col("block") - F.col("low")
     turn, k = F.floor(nth / F.col("quota")), nth % F.col("quota")
     at = F.col("base") + turn * F.col("length")

@@ -154,6 +154,19 @@ def test_small_corpora_follow_targets(spark):
     assert all(abs(2 * got[:t].count("b") - t) <= 2 for t in range(200)) and set(got[200:]) == {"a"}
 
 
+def test_any_number_of_sources_is_mixed(spark):
+    rows = [(i, "x" * 100, "en", "hot" if i % 4 == 0 else f"s{i % 1500}") for i in range(6_000)]
+    names = {r[3] for r in rows}
+    assert len(names) > 1_000
+    out = mixing.mixing(spark.createDataFrame(rows, DOCS), {s: 1000.0 if s == "hot" else 1.0 for s in names}, block=100).orderBy("position").collect()
+    assert sorted(r["row"]["doc_id"] for r in out) == list(range(6_000))
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in out)
+    share, got = 1000 / (999 + len(names)), 0
+    for t, r in enumerate(out[:1_500], 1):
+        got += r["source"] == "hot"
+        assert abs(got - t * share) < 1 + 0.005 * t
+
+
 # near-duplicates
 
 
