@@ -309,6 +309,16 @@ def test_passages(spark):
     assert substring_dedup.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+@pytest.mark.parametrize("head, gaps, foot", [(100, (100, 100), 100), (60, (60, 60), 60), (60, (70, 60), 80), (100, (150, 140), 100)])
+def test_passages_around_an_unlike_middle(spark, head, gaps, foot):
+    rng = random.Random(6)
+    text = lambda n: [rng.choice("abcdefghij") + str(rng.randint(0, 20_000)) for _ in range(n)]
+    p, q = text(head), text(foot)
+    docs = [(i, " ".join(p + text(gap) + q)) for i, gap in enumerate(gaps, 1)]
+    out = substring_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_id"], r["start"], r["end"], r["other_start"], r["other_end"], r["identity"]) for r in out} == {(2, 1, 0, head, 0, head, 1.0), (2, 1, head + gaps[1], head + gaps[1] + foot, head + gaps[0], head + gaps[0] + foot, 1.0)}
+
+
 def test_passages_of_texts_that_go_round(spark):
     own = lambda i: " ".join(f"d{i}w{k}" for k in range(40))
     docs = [(1, own(1) + " ha" * 120), (2, "x y " + own(2) + " ha" * 90 + " end"), (3, own(3) + " one two three four five six seven" * 20), (4, own(4) + " one two three four five six seven" * 15), (5, own(5) + " ha" * 20)]
