@@ -319,6 +319,26 @@ def test_passages_around_an_unlike_middle(spark, head, gaps, foot):
     assert {(r["doc_id"], r["other_id"], r["start"], r["end"], r["other_start"], r["other_end"], r["identity"]) for r in out} == {(2, 1, 0, head, 0, head, 1.0), (2, 1, head + gaps[1], head + gaps[1] + foot, head + gaps[0], head + gaps[0] + foot, 1.0)}
 
 
+def test_recall_of_fuzzy_passages(spark):
+    """Pairs planted with identities of 0.8 to 0.9, each held against its own word-by-word comparison."""
+    rng = random.Random(12)
+    text = lambda n: [rng.choice("abcdefghij") + str(rng.randint(0, 200_000)) for _ in range(n)]
+    docs, planted = [], {}
+    for i in range(120):
+        length, share = rng.choice([60, 80]), rng.choice([0.1, 0.15, 0.19])
+        passage = text(length)
+        copy = list(passage)
+        for at in rng.sample(range(length), int(share * length)):
+            copy[at] = "changed" + str(rng.randint(0, 200_000))
+        assert sum(x == y for x, y in zip(passage, copy, strict=True)) / length >= 0.8
+        docs += [(2 * i, " ".join(text(50) + passage + text(50))), (2 * i + 1, " ".join(text(30) + copy + text(70)))]
+        planted[2 * i + 1] = 2 * i
+    out = substring_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    found = {r["doc_id"] for r in out if planted.get(r["doc_id"]) == r["other_id"]}
+    assert len(found) >= 0.97 * len(planted)
+    assert {(r["doc_id"], r["other_id"]) for r in out} <= set(planted.items())
+
+
 def test_passages_of_texts_that_go_round(spark):
     own = lambda i: " ".join(f"d{i}w{k}" for k in range(40))
     docs = [(1, own(1) + " ha" * 120), (2, "x y " + own(2) + " ha" * 90 + " end"), (3, own(3) + " one two three four five six seven" * 20), (4, own(4) + " one two three four five six seven" * 15), (5, own(5) + " ha" * 20)]
