@@ -13,8 +13,10 @@ among the rarest of each that make up more than the rest of its weight. Most tex
 from the others have so much of their own that they share none.
 
 Defined results: equal texts are one class; a text without words is a class of its own; a text of
-fewer than five words has one shingle; a null doc_id is ordered last; rows under one doc_id are one
-document; an empty table gives no rows; extra columns are ignored.
+fewer than five words has one shingle; a null doc_id is ordered last; an empty table gives no rows;
+extra columns are ignored. Texts are told apart by two hashes, never by doc_id, which only chooses
+what stands for a class: rows with a null doc_id, or different texts under one doc_id, are documents
+of their own, and rows with the same doc_id and text are one.
 """
 
 from __future__ import annotations
@@ -198,12 +200,13 @@ def prefixes(texts: DataFrame, rarity, p: NearDedup) -> DataFrame:
 
 
 def links(bands: DataFrame, texts: DataFrame, rarity, p: NearDedup) -> DataFrame:
-    """(u, v, s) of links between different texts that make up all classes, from (band, id) rows."""
+    """(u, v, s) of links between different texts that make up all classes, from (band, id, doc) rows."""
     # settled before it is joined: only a join of two plain shuffles can split a hot bucket's partition
     sizes = settle(bands.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1"), "sizes")
-    live = settle(bands.join(sizes, "band"), "buckets")  # (band, id, lead, n)
-    # whole texts are shuffled once, by a join that takes any number of candidates
-    texts = settle(texts.join(live.select("id").distinct().hint("shuffle_merge"), "id"), "candidates")
+    live = settle(bands.join(sizes, "band"), "buckets")  # (band, id, doc, lead, n)
+    # whole texts are shuffled once, by a join that takes any number of candidates; repeated rows then
+    # lie side by side
+    texts = settle(texts.join(live.select("id", "doc").distinct().hint("shuffle_merge"), ["id", "doc"]).dropDuplicates(["id", "doc"]).drop("doc"), "candidates")
     enough = F.col("s") >= p.similarity - 1e-9
     led = live.where("id <> lead").select(F.col("lead").alias("u"), F.col("id").alias("v")).distinct()
     known = settle(similarities(led, texts, rarity, p), "similar")
@@ -232,29 +235,37 @@ def links(bands: DataFrame, texts: DataFrame, rarity, p: NearDedup) -> DataFrame
 
 
 def classes(docs: DataFrame, p: NearDedup = NearDedup(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, a, b, class_id) of every input row; ``class_id`` is the least id of the class."""
+    """(id, a, b, head) of every input row; ``head`` is the least (id, a, b) of the class."""
     spark = docs.sparkSession
     whole = keyed(docs, doc_id, text)
     rarity = spark.sparkContext.broadcast(word_rarity(word_counts(whole), max(docs.count(), 1)))
     signed = settle(signatures(whole, rarity, p), "signatures")
     # one document stands for equal texts; its id is the least
-    stands = settle(signed.where(F.size("bands") > 0).groupBy("a", "b").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "texts")
-    bands = stands.select(F.col("rep").alias("id"), F.explode("bands").alias("band"))
-    texts = whole.select("id", "text")
+    stands = settle(signed.where(F.size("bands") > 0).groupBy("a", "b").agg(F.min("id").alias("id"), F.first("bands").alias("bands")).withColumn("node", F.col("a")), "texts")
+    # nodes are texts, by their hash; ``doc`` finds the row that stands for equal ones
+    bands = stands.select(F.col("node").alias("id"), F.col("id").alias("doc"), F.explode("bands").alias("band"))
+    texts = whole.select(F.col("a").alias("id"), F.col("id").alias("doc"), "text")
     linked = links(bands, texts, rarity, p)
     roots = settle(components(linked.select("u", "v")), "roots")
-    named = signed.select("id", "a", "b").join(stands.select("a", "b", "rep"), ["a", "b"], "left")
-    return named.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("id", "a", "b", F.coalesce("root", "rep", "id").alias("class_id"))
+    rooted = stands.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    heads = rooted.groupBy("root").agg(F.min(F.struct("id", "a", "b")).alias("head"))
+    named = rooted.join(heads, "root").select("a", "b", "head")
+    return signed.select("id", "a", "b").join(named, ["a", "b"], "left").withColumn("head", F.coalesce("head", F.struct("id", "a", "b")))
 
 
 def near_dedup(docs: DataFrame, p: NearDedup = NearDedup(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class_id, keep), one row per input row; one document of each class has ``keep``."""
-    return classes(docs, p, doc_id, text).select(F.nullif("id", F.lit(LAST_ID)).alias("doc_id"), F.nullif("class_id", F.lit(LAST_ID)).alias("class_id"), (F.col("id") == F.col("class_id")).alias("keep"))
+    """(doc_id, class_id, keep), one row per input row; one document of each class has ``keep``.
+
+    ``class_id`` is the least doc_id of the class; a class of null ones only has a negative number made
+    from its texts."""
+    unnamed = -F.shiftrightunsigned("head.a", 1) - 1
+    class_id = F.when(F.col("head.id") == LAST_ID, unnamed).otherwise(F.col("head.id"))
+    return classes(docs, p, doc_id, text).select(F.nullif("id", F.lit(LAST_ID)).alias("doc_id"), class_id.alias("class_id"), (F.struct("id", "a", "b") == F.col("head")).alias("keep"))
 
 
 def keep_one(docs: DataFrame, p: NearDedup = NearDedup(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, columns unchanged, that stand for their class; of repeated rows, one."""
-    gone = classes(docs, p, doc_id, text).where("id <> class_id").select("id", "a", "b")
+    gone = classes(docs, p, doc_id, text).where(F.struct("id", "a", "b") != F.col("head")).select("id", "a", "b")
     whole = F.coalesce(F.col(text), F.lit(""))
     tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(whole).alias("a"), F.xxhash64(F.lit("text"), whole).alias("b"), (F.btrim(whole, F.lit(SPACES)) == "").alias("bare"))
     stay = tagged.join(gone, ["id", "a", "b"], "left_anti")

@@ -225,6 +225,19 @@ def test_keep_one(spark):
     assert near_dedup.keep_one(df.limit(0)).collect() == [] and near_dedup.near_dedup(df.limit(0)).collect() == []
 
 
+def test_null_and_repeated_ids_are_told_apart_by_text(spark):
+    own = lambda k: " ".join(f"t{k}w{i}" for i in range(80))
+    rows = [(1, own(0)), (None, own(0) + " more"), (None, own(1)), (None, own(2)), (None, own(2) + " more"), (7, own(3)), (7, own(4)), (7, own(0) + " again"), (None, None), (None, "")]
+    df = spark.createDataFrame([(d, t, "en", "s") for d, t in rows], DOCS)
+    kept = Counter(r["text"] or "" for r in near_dedup.keep_one(df).collect())
+    two = kept[own(2)] + kept[own(2) + " more"]
+    assert two == 1 and kept[own(0)] == kept[own(1)] == kept[own(3)] == kept[own(4)] == 1 and kept[""] == 2 and sum(kept.values()) == 7
+    out = near_dedup.near_dedup(df).collect()
+    assert len(out) == len(rows) and sum(r["class_id"] == 1 for r in out) == 3
+    linked = Counter(r["class_id"] for r in out if r["doc_id"] is None and r["class_id"] != 1)
+    assert all(c < 0 for c in linked) and sorted(linked.values()) == [1, 2, 2]
+
+
 def test_large_groups_are_exact(spark):
     """Buckets beyond the small size go through the prefix filter; classes stay those of all pairs."""
     rng = random.Random(9)
