@@ -44,8 +44,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
-    return best_fit_packing(docs, vocabulary())
+    """The pieces of all documents and their places in sequences, in the order of the mixture."""
+    return best_fit_packing(docs, vocabulary(), ordered=True)
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near_duplicates), ("mixing", mixture), ("packing", packing)]

@@ -81,21 +81,38 @@ def piece_bounds(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]
     return list(zip(edges[:-1], edges[1:], strict=True))
 
 
-def cut(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece of each document's token ids, the end token included."""
+def with_place(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``part`` and ``nth``, which sort as its rows stand.
+
+    A table read from files is dealt to tasks by the files' sizes, so its order is that of the files'
+    names and the rows in them; any other is ordered by its partitions."""
+    if docs._jdf.queryExecution().analyzed().nodeName().startswith(("LogicalRelation", "Relation")):
+        return docs.select("*", F.col("_metadata.file_name").alias("part"), F.col("_metadata.row_index").alias("nth"))
+    at = F.monotonically_increasing_id()
+    return docs.select("*", at.alias("nth")).withColumn("part", F.lpad(F.shiftright("nth", 33).cast("string"), 10, "0"))
+
+
+def cut(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = END, doc_id: str = "doc_id", text: str = "text", place: bool = False) -> DataFrame:
+    """One row per piece of each document's token ids, the end token included; with ``place``, the
+    columns ``part`` and ``nth`` of ``with_place`` as well."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, body in zip(batch.column(0), batch.column(1), strict=True):
+            row: list[int] = []
+            for at, (doc, body) in enumerate(zip(batch.column(0), batch.column(1), strict=True)):
                 ids = np.append(encode(body.as_py() or ""), np.uint32(end)).astype("<u4")
                 for k, (a, b) in enumerate(piece_bounds(len(ids), capacity)):
                     for column, value in zip(out, (doc.as_py(), k, a, b - a, zlib.crc32(ids[a:b])), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    row.append(at)
+            columns = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            stands = [batch.column(i).take(pa.array(row, pa.int64())) for i in range(2, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays(columns + stands, ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"][: 5 + len(stands)])
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(pieces, PIECES)
+    where = ["part", "nth"] if place else []
+    return docs.select(F.col(doc_id).cast("long"), F.col(text), *where).mapInArrow(pieces, PIECES + (", part string, nth long" if place else ""))
 
 
 def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> Classes:
@@ -218,23 +235,42 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = 64, rows_per_
 
     Ranks within a length are made in parallel: pieces are ranked per (length, salt), and small
     per-salt counts, summed up, shift the ranks. A length that very many pieces share has salts in
-    proportion."""
+    proportion.
+
+    Where ``pieces`` have ``part`` and ``nth``, parts are the salts: ranks within a length follow the
+    order of the rows, and so do sequences, by their first piece."""
+    ordered = {"part", "nth"} <= set(pieces.columns)
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # one per length
     where = places(improve(best_fit(counts, capacity), capacity))
     spark = pieces.sparkSession
     spots = spark.createDataFrame(where, "length long, low long, high long, first_sequence long, offset long")
     n = max(salts, -(-max(counts.values(), default=0) // rows_per_salt))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)))
+    salted = pieces.withColumn("salt", F.col("part") if ordered else F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n)))
     shift = salted.groupBy("length", "salt").count().select("length", "salt", (F.sum("count").over(W.partitionBy("length").orderBy("salt")) - F.col("count")).alias("before"))
-    local = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
-    ranked = salted.withColumn("nth", local).join(shift, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("nth") - 1)
+    local = F.row_number().over(W.partitionBy("length", "salt").orderBy(*["nth"] * ordered, "doc_id", "piece", "ids_crc32"))
+    ranked = salted.withColumn("local", local).join(shift, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("local") - 1)
     # ``spots`` depends on the lengths that occur, not on how many rows have them
     placed = ranked.join(F.broadcast(spots), (ranked["length"] == spots["length"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    return placed.select(*[pieces[c] for c in pieces.columns], (F.col("first_sequence") + F.col("rank") - F.col("low")).alias("sequence_id"), F.col("offset"))
+    out = placed.select(*[ranked[c] for c in pieces.columns], (F.col("first_sequence") + F.col("rank") - F.col("low")).alias("sequence_id"), F.col("offset"))
+    return in_order(out) if ordered else out
+
+
+def in_order(placed: DataFrame) -> DataFrame:
+    """``placed`` without ``part`` and ``nth``, its sequences numbered by the place of their first piece."""
+    placed = settle(placed, "placed")
+    firsts = settle(placed.groupBy("sequence_id").agg(F.min(F.struct("part", "nth", "piece")).alias("first")).select("sequence_id", "first.*"), "sequences")
+    counts = sorted((r["part"], r["count"]) for r in firsts.groupBy("part").count().collect())  # one per part
+    before = [(part, sum(n for _, n in counts[:i])) for i, (part, _) in enumerate(counts)]
+    shift = F.broadcast(placed.sparkSession.createDataFrame(before, "part string, before long"))
+    nth = F.row_number().over(W.partitionBy("part").orderBy("nth", "piece", "sequence_id"))
+    numbers = firsts.withColumn("number", nth - 1).join(shift, "part").select("sequence_id", (F.col("before") + F.col("number")).alias("number"))
+    columns = [F.col("number").alias(c) if c == "sequence_id" else F.col(c) for c in placed.columns if c not in ("part", "nth")]
+    return placed.join(numbers, "sequence_id").select(*columns)
 
 
-def best_fit_packing(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece and its place.
+def best_fit_packing(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int = END, doc_id: str = "doc_id", text: str = "text", ordered: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): every piece and its place;
+    ``ordered`` keeps the order of ``docs`` among pieces of a length and among sequences.
 
     The texts are read and tokenized once; the narrow table of pieces is settled."""
-    return pack(settle(cut(docs, vocabulary, capacity, end, doc_id, text), "pieces"), capacity)
+    return pack(settle(cut(with_place(docs) if ordered else docs, vocabulary, capacity, end, doc_id, text, ordered), "pieces"), capacity)

@@ -34,3 +34,22 @@ def test_stages(spark, tmp_path):
     last = state["packing"].select("doc_id", "piece", "ids_crc32").collect()
     assert sorted(last) == sorted(packing.cut(before, queries.vocabulary()).select("doc_id", "piece", "ids_crc32").collect())
     assert sorted(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "ids_crc32").collect()) == sorted(last)
+
+
+def test_the_order_of_the_mixture_decides(spark, tmp_path):
+    rows = [(i, " ".join(f"w{i % 9}" for _ in range(400 + i % 3)), "en", "s", 0) for i in range(60)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    found = []
+    for name, order in (("up", rows), ("down", rows[::-1])):
+        path = str(tmp_path / name)
+        spark.createDataFrame(order, schema).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").write.parquet(path) if name == "up" else spark.createDataFrame(order, schema).coalesce(1).write.parquet(path)
+        for docs in (spark.read.parquet(path), spark.createDataFrame(order, schema)):
+            out = corpus_pipeline.packing(spark, docs, "").collect()
+            at = {r[0]: k for k, r in enumerate(order)}
+            first = {}
+            for r in out:
+                first[r["sequence_id"]] = min(first.get(r["sequence_id"], 99), at[r["doc_id"]])
+            assert len(out) == 60 and sorted(first) == list(range(len(first)))
+            assert [first[k] for k in sorted(first)] == sorted(first.values())
+        found.append({(r["doc_id"], r["sequence_id"], r["offset"]) for r in out})
+    assert found[0] != found[1]
