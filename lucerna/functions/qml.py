@@ -39,15 +39,17 @@ def tokens(text: str) -> list[tuple[str, str, int, int]]:
     return [(m.lastgroup, m[0], m.start(), m.end()) for m in _TOKEN.finditer(text) if m.lastgroup != "space"]
 
 
-def _partner(found: list, at: int, opener: str, closer: str) -> int | None:
-    depth = 0
-    for i in range(at, len(found)):
-        kind, value = found[i][:2]
+def _partners(found: list) -> dict[int, int]:
+    """The closing bracket of each opening one that has any, kinds apart, found in one pass."""
+    out: dict[int, int] = {}
+    waiting: dict[str, list[int]] = {"}": [], "]": []}
+    for i, (kind, value, _, _) in enumerate(found):
         if kind == "other":
-            depth += (value == opener) - (value == closer)
-            if not depth:
-                return i
-    return None
+            if value in "{[":
+                waiting["}" if value == "{" else "]"].append(i)
+            elif value in "}]" and waiting[value]:
+                out[waiting[value].pop()] = i
+    return out
 
 
 def unquote(raw: str) -> str | None:
@@ -95,27 +97,29 @@ def array(expression: str) -> tuple[list[str], bool]:
 def commands(text: str) -> list[Command]:
     """The ``command:`` expressions of all ``Process`` blocks; a block within a block is not sought again."""
     found, out, i = tokens(text), [], 0
+    partner = _partners(found)
     while i < len(found):
-        if found[i][:2] == ("name", "Process") and i + 1 < len(found) and found[i + 1][1] == "{" and (end := _partner(found, i + 1, "{", "}")) is not None:
-            out += _expressions(text, found[i + 2 : end], found[end][2])
+        if found[i][:2] == ("name", "Process") and i + 1 < len(found) and found[i + 1][1] == "{" and (end := partner.get(i + 1)) is not None:
+            out += _expressions(text, found, i + 2, end, partner)
             i = end
         i += 1
     return out
 
 
-def _expressions(text: str, found: list, stop: int) -> list[Command]:
-    out, i = [], 0
-    while i < len(found):
-        if found[i][:2] == ("name", "command") and i + 2 < len(found) and found[i + 1][1] == ":":
+def _expressions(text: str, found: list, i: int, last: int, partner: dict[int, int]) -> list[Command]:
+    out, stop = [], found[last][2]
+    while i < last:
+        if found[i][:2] == ("name", "command") and i + 2 < last and found[i + 1][1] == ":":
             start = found[i + 2][2]
-            close = _partner(found, i + 2, "[", "]") if found[i + 2][1] == "[" else None
-            if close is not None:
+            close = partner.get(i + 2, last) if found[i + 2][1] == "[" else last
+            if close < last:
                 end = found[close][3]
             else:
-                end = next((k for k in range(start, stop) if text[k] in "\n;"), stop)
+                ends = [k for k in (text.find(c, start, stop) for c in "\n;") if k >= 0]
+                end = min(ends, default=stop)
             words, dynamic = array(text[start:end])
             out.append(Command(start, end, text[start:end], words, dynamic))
-            while i < len(found) and found[i][2] < end:
+            while i < last and found[i][2] < end:
                 i += 1
         else:
             i += 1
@@ -130,7 +134,3 @@ def assigns_command(text: str) -> bool:
             if not (i + 4 < len(found) and found[i + 4][1] == "=" and found[i + 4][2] == found[i + 3][3]):
                 return True
     return False
-
-
-def line_at(text: str, offset: int) -> int:
-    return 1 + text.count("\n", 0, offset)

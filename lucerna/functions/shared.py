@@ -8,14 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` where the cluster names it; else a folder beside the warehouse."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    """``spark.checkpoint.dir``. A local session, whose executors are the driver itself, may leave it
+    unset and then uses a folder beside its warehouse; a cluster has to name it."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage with files that
-    outlive any executor. Each call writes a new folder; the owner of the shared folder clears it."""
+    outlive any executor. Each call writes a new folder; ``release`` deletes it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    settled = df.sparkSession.read.schema(df.schema).parquet(path)
+    settled._settled_in = path
+    return settled
+
+
+def release(*settled: DataFrame) -> None:
+    """Delete the folders of tables that ``settle`` returned, once nothing reads them any more: all that
+    was derived from them is settled itself."""
+    for df in settled:
+        if path := getattr(df, "_settled_in", None):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+            df._settled_in = None

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from lucerna.functions import paths as P
+from lucerna.functions.texts import text_of
 from lucerna.schemas import DISPOSITIONS
 
 #: Fixed value: what coverage percentages are of.
@@ -27,7 +32,7 @@ def relevant(path: Column, text: Column, is_elf: Column) -> Column:
 def dispositions(inventory: DataFrame, contents: DataFrame, limitations: DataFrame, errors: DataFrame) -> DataFrame:
     """``inventory`` with ``analysis`` and ``analysis_reason``; the first rung that fits decides."""
     flag = lambda rows, name: rows.where("path is not null and path <> ''").select("target_id", "path").distinct().withColumn(name, F.lit(True))
-    heads = contents.select("target_id", "path", F.substring_index(F.decode(F.col("content"), "UTF-8"), "\n", 1).alias("_text"))
+    heads = contents.select("target_id", "path", F.substring_index(text_of(F.col("content")), "\n", 1).alias("_text"))
     joined = inventory.join(heads, ["target_id", "path"], "left").join(flag(limitations, "_limited"), ["target_id", "path"], "left").join(flag(errors, "_failed"), ["target_id", "path"], "left")
     path, text = F.col("path"), F.col("_text")
     elf = F.col("binary").isNotNull() | F.coalesce(F.col("content_type") == "application/x-elf", F.lit(False))
@@ -46,8 +51,12 @@ def dispositions(inventory: DataFrame, contents: DataFrame, limitations: DataFra
     return named.withColumn("analysis", analysis).withColumn("analysis_reason", reason).drop("_text", "_limited", "_failed", "_rung")
 
 
+def _percentage(analyzed: Column, total: Column) -> Column:
+    return F.call_function("div", analyzed * 100, total)
+
+
 def level(analyzed: Column, total: Column) -> Column:
-    percentage = F.floor(analyzed * 100 / total)
+    percentage = _percentage(analyzed, total)
     return F.when(total == 0, "not-applicable").when(analyzed == total, "complete").when(percentage >= 80, "substantial").when(percentage > 0, "partial").otherwise("limited")
 
 
@@ -66,7 +75,7 @@ def summary(files: DataFrame) -> DataFrame:
         excluded.alias("excluded_units"),
         total.alias("total_units"),
         (total + excluded).alias("retained_units"),
-        F.when(total > 0, F.floor(analyzed * 100 / total)).cast("int").alias("percentage"),
+        F.when(total > 0, _percentage(analyzed, total)).cast("int").alias("percentage"),
     )
 
 
@@ -81,19 +90,25 @@ def byte_totals(inventory: DataFrame) -> DataFrame:
 
 def budget_fold(files: DataFrame, budget: int, order: list[Column], group: str = "target_id", size: str = "size") -> DataFrame:
     """``files`` with ``kept``: in order, a file that would overrun the budget is passed over and the
-    next ones are still tried. A fold over each group's sizes, not a running sum; the group is one
-    target's files, which the file limit bounds."""
-    entries = files.withColumn("_entry", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(size).alias("size")))
-    listed = entries.groupBy(group).agg(F.array_sort(F.collect_list("_entry")).alias("_all"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("kept"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["size"] <= budget
-        return F.struct((acc["used"] + F.when(fits, x["size"]).otherwise(F.lit(0))).cast("long").alias("used"), F.concat(acc["kept"], F.array(fits)).alias("kept"))
-
-    folded = listed.withColumn("_fold", F.aggregate("_all", zero, step))
-    flags = folded.select(group, F.explode(F.arrays_zip(F.col("_all").alias("e"), F.col("_fold.kept").alias("k"))).alias("z")).select(group, F.col("z.e").alias("_entry"), F.col("z.k").alias("kept"))
-    return entries.join(flags, [group, "_entry"]).drop("_entry")
+    next ones are still tried. What is kept depends on all files before, so a group is one stream in one
+    task; it is sorted by Spark, which spills, and only a running total is held."""
+    parts = [F.col(group), *order, F.col(size)]
+    ranged = files.repartition(F.col(group)).sortWithinPartitions(*parts)
+    names = files.columns
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, used = None, 0
+        for b in batches:
+            kept = []
+            for key, bytes_ in zip(b.column(names.index(group)).to_pylist(), b.column(names.index(size)).to_pylist(), strict=True):
+                if (key,) != at:
+                    at, used = (key,), 0
+                fits = bytes_ is not None and used + bytes_ <= budget
+                used += bytes_ if fits else 0
+                kept.append(fits)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kept, pa.bool_())], [*names, "kept"])
+
+    return ranged.mapInArrow(fold, StructType([*files.schema.fields, StructField("kept", BooleanType())]))
 
 
 def count_budget(listing: DataFrame, limit: int) -> DataFrame:

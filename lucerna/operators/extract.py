@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lucerna.functions import paths as P
 from lucerna.functions import qml, shell
+from lucerna.functions.texts import Lines, flat, text_of
 from lucerna.schemas import ANALYZER, ANALYZER_VERSION, DYNAMIC, EVIDENCE, LIMITS, PROVENANCE, TARGET_INPUT
 
 FACTS = (
@@ -29,8 +30,13 @@ def provenance(rule: str | Column, source: str = "target-source") -> Column:
     return F.struct((F.lit(rule) if isinstance(rule, str) else rule).alias("rule_id"), F.lit(ANALYZER).alias("analyzer"), F.lit(ANALYZER_VERSION).alias("analyzer_version"), F.lit(source).alias("evidence_source")).cast(PROVENANCE)
 
 
-def _excerpt(lines: list[str], line: int) -> str:
-    return P.cut_bytes(lines[line - 1], LIMITS.excerpt_bytes) if 0 < line <= len(lines) else ""
+def _excerpt(lines: Lines, line: int) -> str:
+    return P.cut_bytes(lines.line(line, LIMITS.excerpt_bytes + 1), LIMITS.excerpt_bytes)
+
+
+def _printed(text: str, start: int, end: int) -> str:
+    most = LIMITS.string_bytes // 2
+    return P.cut_bytes(flat(text, start, end, most), most)
 
 
 def shell_facts(text: str) -> Iterator[dict]:
@@ -43,18 +49,17 @@ def shell_facts(text: str) -> Iterator[dict]:
     except RecursionError:
         yield {"fact": "limitation", "seq": 0, "command": "shell-parse-error", "message": "nested too deeply"}
         return
-    lines, number = text.split("\n"), {}
-    place = lambda at: 1 + text.count("\n", 0, at)
+    lines, number = Lines(text), {}
     for node in nodes:
         for call in node.calls():
             seq = number[id(call)] = len(number)
-            start = place(call.start)
+            start = lines.at(call.start)
             yield {
                 "fact": "shell",
                 "seq": seq,
                 "line_start": start,
-                "line_end": place(max(call.start, call.end - 1)),
-                "operation": P.cut_bytes(" ".join(text[call.start : call.end].split()), LIMITS.string_bytes // 2),
+                "line_end": lines.at(max(call.start, call.end - 1)),
+                "operation": _printed(text, call.start, call.end),
                 "excerpt": _excerpt(lines, start),
                 "command": call.words[0][0],
                 "arguments": [w for w, _ in call.words[1:]],
@@ -65,13 +70,13 @@ def shell_facts(text: str) -> Iterator[dict]:
         for pipe in node.pipes():
             left, right = shell.first_call(pipe.left), shell.first_call([pipe.right])
             if left and right:
-                start = place(pipe.start)
+                start = lines.at(pipe.start)
                 yield {
                     "fact": "pipe",
                     "seq": seq,
                     "line_start": start,
-                    "line_end": place(max(pipe.start, pipe.end - 1)),
-                    "operation": P.cut_bytes(" ".join(text[pipe.start : pipe.end].split()), LIMITS.string_bytes // 2),
+                    "line_end": lines.at(max(pipe.start, pipe.end - 1)),
+                    "operation": _printed(text, pipe.start, pipe.end),
                     "excerpt": _excerpt(lines, start),
                     "left_seq": number[id(left)],
                     "right_seq": number[id(right)],
@@ -80,9 +85,9 @@ def shell_facts(text: str) -> Iterator[dict]:
 
 
 def qml_facts(text: str) -> Iterator[dict]:
-    lines = text.split("\n")
+    lines = Lines(text)
     for seq, c in enumerate(qml.commands(text)):
-        start = qml.line_at(text, c.start)
+        start = lines.at(c.start)
         words = c.words or [""]
         name = words[0].rstrip("/").rpartition("/")[2]
         inline = name in P.INTERPRETERS and len(words) > 2 and words[1] == "-c"
@@ -90,7 +95,7 @@ def qml_facts(text: str) -> Iterator[dict]:
             "fact": "qml",
             "seq": seq,
             "line_start": start,
-            "line_end": qml.line_at(text, c.end),
+            "line_end": lines.at(c.end),
             "operation": P.cut_bytes(c.text.strip(), LIMITS.string_bytes // 2),
             "excerpt": _excerpt(lines, start),
             "command": words[0],
@@ -104,7 +109,7 @@ def qml_facts(text: str) -> Iterator[dict]:
 
 def facts(contents: DataFrame) -> DataFrame:
     """All facts of the shell and QML files of ``contents`` (target_id, path, content)."""
-    text = F.decode(F.col("content"), "UTF-8")
+    text = text_of(F.col("content"))
     kind = F.when(P.is_shell(F.col("path"), text), "shell").when(P.is_qml(F.col("path")), "qml")
     chosen = contents.where(~P.is_inert_git(F.col("path"))).select("target_id", "path", "content", kind.alias("kind")).where("kind is not null")
 
@@ -124,9 +129,14 @@ def evidence(path: Column, line_start: Column, line_end: Column, operation: Colu
 
 
 def operations(found: DataFrame) -> DataFrame:
-    """Operations with ids; ordinals run over a target's files in path order."""
+    """Operations with ids; ordinals run over a target's files in path order.
+
+    Only one small row a file is sorted: a file's own commands are numbered already."""
     ops = found.where(F.col("fact").isin("shell", "qml"))
-    ordinal = F.row_number().over(W.partitionBy("target_id").orderBy("path", "seq"))
+    files = ops.groupBy("target_id", "path").agg(F.count("*").alias("n"))
+    before = files.select("target_id", "path", (F.sum("n").over(W.partitionBy("target_id").orderBy("path")) - F.col("n")).alias("_before"))
+    ops = ops.join(before, ["target_id", "path"])
+    ordinal = (F.col("_before") + F.col("seq") + 1).cast("int")
     unnamed = F.col("command") == ""
     rule = F.when(F.col("fact") == "shell", "shell-operation-extraction/v1").otherwise("qml-operation-extraction/v1")
     return ops.withColumn("ordinal", ordinal).select(

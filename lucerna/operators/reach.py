@@ -5,11 +5,15 @@ from the frontier only, and stops when nothing is new, cycles included."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lucerna.functions import paths as P
 from lucerna.functions.shared import settle
+from lucerna.functions.texts import text_of
 
 
 def candidates(contents: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
@@ -20,15 +24,47 @@ def candidates(contents: DataFrame, inventory: DataFrame | None = None) -> DataF
     return every.where(~P.is_git_metadata(F.col("path")) & ~P.is_tooling(F.col("path"))).distinct()
 
 
+#: One stream of a target's texts is so many texts long.
+TEXTS_PER_STREAM = 2_000
+
+
 def references(contents: DataFrame, targets: DataFrame) -> DataFrame:
     """(target_id, src, dst): ``src``'s text holds the path or the base name of ``dst``.
 
-    The join is by target, so that only a target's own files meet; the text is tested in the join."""
-    texts = contents.select("target_id", F.col("path").alias("src"), F.decode(F.col("content"), "UTF-8").alias("text")).where(F.length("text") > 0)
-    names = targets.select("target_id", F.col("path").alias("dst"), P.base_name(F.col("path")).alias("base"))
-    held = (texts["target_id"] == names["target_id"]) & (F.col("src") != F.col("dst")) & F.contains(F.col("text"), F.col("base"))
+    A text is read once for all names of its target, by one automaton, so that work grows with the
+    texts and not with texts times names. A target's texts are dealt into streams, each led by the
+    target's distinct base names; names that were found become files by an equi-join."""
+    texts = contents.select("target_id", F.col("path").alias("src"), text_of(F.col("content")).alias("text")).where(F.length("text") > 0)
+    named = targets.select("target_id", F.col("path").alias("dst"), P.base_name(F.col("path")).alias("base"))
+    sizes = texts.groupBy("target_id").agg(F.ceil(F.count("*") / TEXTS_PER_STREAM).cast("int").alias("streams"))
+    none = F.lit(None).cast("string")
+    # a name leads each stream of its target: few streams, as many as the target has texts to fill
+    lead = named.select("target_id", "base").distinct().join(sizes, "target_id").select("target_id", F.explode(F.sequence(F.lit(0), F.col("streams") - 1)).alias("stream"), "base", none.alias("src"), none.alias("text"))
+    body = texts.join(sizes, "target_id").select("target_id", F.pmod(F.xxhash64("src"), F.col("streams")).cast("int").alias("stream"), none.alias("base"), "src", "text")
+    rows = lead.unionByName(body).repartition("target_id", "stream").sortWithinPartitions("target_id", "stream", F.col("text").isNotNull())
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        at, automaton, ready = None, None, False
+        for whole in batches:
+            out: list[tuple[str, str, str]] = []
+            for target, stream, base, src, text in zip(*(c.to_pylist() for c in whole.columns), strict=True):
+                if (target, stream) != at:
+                    at, automaton, ready = (target, stream), ahocorasick.Automaton(), False
+                if text is None:
+                    automaton.add_word(base, base)
+                    continue
+                if not ready:
+                    automaton.make_automaton()
+                    ready = True
+                if len(automaton):
+                    out += [(target, src, found) for found in {value for _, value in automaton.iter(text)}]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(3)], ["target_id", "src", "base"])
+
+    found = rows.mapInArrow(search, "target_id string, src string, base string")
     # a text with the whole path has the base name too
-    return texts.join(names, held).select(texts["target_id"], "src", "dst")
+    return found.join(named, ["target_id", "base"]).where("src <> dst").select("target_id", "src", "dst")
 
 
 def seeds(contents: DataFrame, manifests: DataFrame) -> DataFrame:

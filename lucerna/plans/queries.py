@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lucerna.functions import digests as D
 from lucerna.functions import paths as P
 from lucerna.functions.shared import settle
+from lucerna.functions.texts import text_of
 from lucerna.operators import canonical, coverage, extract, graph, reach, rollup, rules
 from lucerna.plans import pipeline
 from lucerna.sources.maps import from_table, inventory_of
@@ -73,7 +74,7 @@ def walk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classified_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _corpus(spark, sf_dir)
-    text = F.decode("content", "UTF-8")
+    text = text_of(F.col("content"))
     return rows.select("target_id", "path", P.is_shell(F.col("path"), text).alias("shell"), P.is_qml(F.col("path")).alias("qml"), P.unsupported_language(F.col("path"), text).alias("language"), P.is_tooling(F.col("path")).alias("tooling"), P.slug(F.col("path")).alias("slug"))
 
 

@@ -318,3 +318,49 @@ def test_policy_must_match_exactly(spark, whole):
 def test_first_violation_follows_the_fixed_order(spark):
     found = spark.createDataFrame([("t", "V9", 9, "b"), ("t", "V3", 3, "z"), ("t", "V3", 3, "a"), ("u", "V1", 1, "x")], "target_id string, check_id string, ordinal int, detail string")
     assert rows(checks.first_violation(found), "target_id", "check_id", "detail") == [("t", "V3", "a"), ("u", "V1", "x")]
+
+
+def test_any_bytes_are_analysed(spark):
+    png = b"\x89PNG\r\n\x1a\n\x00\x00\xff\xfe" + bytes(range(256))
+    odd = {"icon.png": png, "latin.sh": "echo é\nsudo ls\n".encode("latin-1"), "wide.qml": "Item {}".encode("utf-16"), "lone.sh": b"rm a/b\n\x80", "nul.txt": b"a\x00run.sh"}
+    a = analyzed(spark, odd | {"run.sh": "rm x/y"}, u={"x.bin": png})
+    assert rows(a.status, "target_id") == [("t",), ("u",)]
+    assert rows(a.findings.where("target_id = 't'"), F.get("evidence", F.lit(0))["path"], "category") == [("latin.sh", "privilege-escalation"), ("lone.sh", "destructive-operation"), ("run.sh", "destructive-operation")]
+
+
+def test_references_match_the_plain_definition(spark, monkeypatch):
+    monkeypatch.setattr(reach, "TEXTS_PER_STREAM", 2)
+    files = {f"d{i}/f{i}.sh": f"x{'' if i % 3 else ' f1.sh'} af{(i * 7) % 5}.shz d2/f2.sh" for i in range(9)} | {"e.txt": "", "é/ü.py": "ü.py f0.shf1.sh"}
+    contents = from_maps(spark, {"t": files, "u": {"a.sh": "f1.sh b.sh", "b.sh": "a.sh"}})
+    got = rows(reach.references(contents, reach.candidates(contents)), "target_id", "src", "dst")
+    every = {"t": files, "u": {"a.sh": "f1.sh b.sh", "b.sh": "a.sh"}}
+    assert got == sorted((t, a, b) for t, held in every.items() for a, text in held.items() for b in held if a != b and text and b.rpartition("/")[2] in text)
+
+
+def test_entry_without_the_training_data_folders(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "repo"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "spark-warehouse"))
+    code = "import __spark_entry__ as e; q = e.queries(); s = e.oracle_sql(); assert 'review_rollup' in q and 'pipeline' not in q and not any(k.startswith('op') and k[2].isdigit() for k in q), sorted(q); print(len(q), len(s))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=copy, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr
+
+
+def test_a_cluster_must_name_its_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from lucerna.functions.shared import release, settle, shared_dir
+
+    conf = SimpleNamespace(get=lambda key, other=None: other if key == "spark.checkpoint.dir" else "/w")
+    assert shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[4]"))) == "/w/_shared"
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    kept = settle(spark.range(3), "kept")
+    folder = kept._settled_in.removeprefix("file:")
+    assert kept.count() == 3 and os.path.isdir(folder)
+    release(kept)
+    assert not os.path.exists(folder)

@@ -103,3 +103,26 @@ def test_strict_json_round_trip():
 def test_paths():
     assert [clean_path(p) for p in ("a//b/", "./a", "a/../b", "", "//x")] == ["a/b", "a", "b", ".", "/x"]
     assert cut_bytes("é" * 300, 500) == "é" * 250 + "…" and cut_bytes("é" * 251, 501) == "é" * 250 + "…" and cut_bytes("abc", 3) == "abc"
+
+
+def test_long_and_hostile_sources_take_linear_time():
+    import time
+
+    from lucerna.operators.extract import qml_facts, shell_facts
+
+    begin = time.perf_counter()
+    assert sum(1 for _ in shell_facts("rm a/b\n" * 100_000)) == 100_000
+    assert list(qml_facts("Process {\n" * 100_000)) == []
+    assert sum(1 for _ in qml_facts('Process { command: ["a"] }\n' * 40_000)) == 40_000
+    last = list(shell_facts("rm a/b\n" * 1000))[-1]
+    assert (last["line_start"], last["line_end"], last["excerpt"]) == (1000, 1000, "rm a/b")
+    assert time.perf_counter() - begin < 60
+
+
+def test_lines_and_flat_text():
+    from lucerna.functions.texts import Lines, flat
+
+    lines = Lines("a\nbb\n\nc")
+    assert [lines.at(i) for i in range(7)] == [1, 1, 2, 2, 2, 3, 4]
+    assert [lines.line(i, 9) for i in range(6)] == ["", "a", "bb", "", "c", ""] and lines.line(2, 1) == "b"
+    assert flat("x  a \n b  y", 1, 9, 10) == "a b" and flat("a " * 50, 0, 100, 5).startswith("a a a") and len(flat("a " * 50, 0, 100, 5)) > 5
