@@ -136,8 +136,8 @@ def confidence_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidences and claims over several record types."""
     unknowns, _, _ = _notes(spark, sf_dir)
     o = _table(spark, sf_dir, "orders").select(F.concat(F.lit("u"), F.col("o_custkey") % 300).alias("target_id"), F.when(F.col("o_orderkey") % 5 == 0, "low").otherwise("high").alias("confidence"), F.when(F.col("o_orderkey") % 3 == 0, "inference").otherwise("fact").alias("claim"))
-    none = o.limit(0)
-    return rollup.confidence_counts(o, unknowns).join(rollup.claim_counts(none, none, o, unknowns), "target_id", "full_outer")
+    every = rollup.counted({"findings": o, "unknowns": unknowns})
+    return every.select("target_id", *[f"confidence_{c}" for c in ("low", "medium", "high")], "facts", "inferences", "unknown_behaviors")
 
 
 def viewer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,9 +31,9 @@ class Analysis:
 
 
 def extracted(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(facts, operations), parsed once."""
+    """(facts, operations with what they use), parsed, numbered and judged once."""
     found = settle(extract.facts(contents), "facts")
-    return found, extract.operations(found)
+    return found, settle(rules.with_uses(extract.operations(found)), "used")
 
 
 def findings_of(found: DataFrame, ops: DataFrame, manifests: DataFrame, problems: DataFrame) -> DataFrame:
@@ -72,22 +72,20 @@ def analyze(contents: DataFrame, inventory: DataFrame, limitations: DataFrame |
 
     files = settle(coverage.dispositions(inventory, contents, scoped, errors), "inventory")
     summary = coverage.summary(files)
-    draft = rollup.status(rollup.review(targets, summary, operations, resources, findings, unknowns, scoped, errors))
-    gap = draft.where("needs_limitation").select("target_id", F.lit("analysis-coverage-incomplete").alias("code"), F.lit("At least one retained artifact was only partially analyzed or could not be analyzed.").alias("description"), none.alias("path"), F.lit("unknown").alias("scope"))
-    limited = settle(scoped.unionByName(gap), "limitations")
-    review = rollup.review(targets, summary, operations, resources, findings, unknowns, limited, errors)
+    review = settle(rollup.with_gap(rollup.review(targets, summary, operations, resources, findings, unknowns, scoped, errors)), "review")
+    gap = review.where("gap").select("target_id", F.lit(rollup.GAP_CODE).alias("code"), F.lit("Some retained artifacts could be analyzed in part only, or not at all.").alias("description"), none.alias("path"), F.lit("unknown").alias("scope"))
     return Analysis(
         files,
         manifests,
-        graph.referenced(operations, "operation"),
+        graph.referenced(operations.drop("used"), "operation"),
         graph.referenced(resources, "resource"),
         graph.referenced(findings, "finding"),
         graph.referenced(unknowns, "unknown"),
-        limited,
+        scoped.unionByName(gap),
         errors,
         graph.base_edges(resources, findings, unknowns),
-        review,
-        draft.select("target_id", "status"),
+        review.drop("status", "gap"),
+        review.select("target_id", "status"),
     )
 
 
