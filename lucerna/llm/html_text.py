@@ -1,9 +1,12 @@
 """Main text of web pages from flat text blocks and a small decision tree.
 
-A page is cut into flat text blocks at block-level elements. Each block has its word count and link
-density, those of its neighbours, and where it stands: in which structural elements, and under which
-class, id or role names. A decision tree trained on the small labelled table below tells article
-text from the rest.
+A page is cut into flat text blocks at block-level elements. A block's features are its word count and
+link density, those of the blocks before and after it, whether it stands in page furniture (elements
+for navigation, forms and the like, or names that stand for them), and whether in the page's article
+element, if the page has one. A decision tree trained on the small labelled table below tells article
+text from the rest. Pages are read in one pass, in time linear in their length and depth.
+
+White space is what ``str.split`` splits at, so that a no-break space is one space, too.
 
 Defined results: null or empty html gives an empty text; unclosed, crossed and cut-off markup is read
 as far as it goes; a null page_id or url is kept; rows that repeat give a row each; an empty table
@@ -15,7 +18,7 @@ from __future__ import annotations
 import html as references
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,19 +48,29 @@ class Block:
     text: str
     words: int
     linked: int
-    tag: str
-    furniture: bool
-    header: bool
-    hinted: bool
+    #: in page furniture; in an article element
+    aside: bool
     content: bool
-    #: words and link density of the block before and of the block after
-    around: tuple[float, ...] = field(default=(0.0, 0.0, 0.0, 0.0))
 
     @property
     def density(self) -> float:
         return self.linked / self.words if self.words else 0.0
 
 
+@dataclass(slots=True)
+class Open:
+    """An open element, with what holds for all that it and the elements around it contain."""
+
+    name: str
+    is_header: bool
+    furniture: bool
+    header: bool
+    #: named like furniture from the innermost article on, and by names that count even around one
+    hinted: bool
+    firm: bool
+    content: bool
+
+
 #: Names that make an element a header: its heading may be the article's, the rest is not.
 HEADERS = frozenset("header masthead".split())
 #: Words that a wrapper around a whole page may have beside a hint, as in "layout with-sidebar".
@@ -71,41 +84,57 @@ def _names(attributes: str) -> frozenset[str]:
     return frozenset(p.lower() for p in _PARTS.findall(names))
 
 
+_ROOT = Open("", False, False, False, False, False, False)
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's flat text blocks in order; scripts, styles and markup are gone."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # open block elements: (name, header, hinted, hinted even around an article)
+    stack = [_ROOT]
+    places: dict[str, list[int]] = {}  # where in the stack elements of a name are open
     pieces: list[str] = []
     linked: list[str] = []
     in_link = False
 
+    def pop() -> None:
+        places[stack.pop().name].pop()
+
     def close() -> None:
         nonlocal pieces, linked
         if pieces:
-            text = " ".join(references.unescape("".join(pieces)).split())
-            if text:
-                names = [n for n, *_ in stack]
-                inside = next((i for i in range(len(names) - 1, -1, -1) if names[i] in CONTENT), -1)
-                found.append(
-                    Block(
-                        text,
-                        len(text.split()),
-                        len(references.unescape(" ".join(linked)).split()),
-                        names[-1] if names else "",
-                        any(n in FURNITURE for n in names),
-                        any(header for _, header, _, _ in stack),
-                        any(firm if i < inside else hinted for i, (_, _, hinted, firm) in enumerate(stack)),
-                        inside >= 0,
-                    )
-                )
+            words = references.unescape("".join(pieces)).split()
+            if words:
+                at = stack[-1]
+                heading = at.name in HEADINGS and at.content  # of an article, in a header or not
+                aside = at.furniture or at.hinted or (at.header and not heading)
+                found.append(Block(" ".join(words), len(words), len(references.unescape(" ".join(linked)).split()), aside, at.content))
         pieces, linked = [], []
 
+    def enter(name: str, attributes: str) -> None:
+        names = _names(attributes) if name not in ("html", "body") else frozenset()
+        hinted, is_header = not names.isdisjoint(HINTS), name == "header" or not names.isdisjoint(HEADERS)
+        around, firm = stack[-1], hinted and names.isdisjoint(WRAPPERS)
+        places.setdefault(name, []).append(len(stack))
+        stack.append(
+            Open(
+                name,
+                is_header,
+                around.furniture or name in FURNITURE,
+                around.header or is_header,
+                hinted or (around.firm if name in CONTENT else around.hinted),
+                around.firm or firm,
+                around.content or name in CONTENT,
+            )
+        )
+
     at, end = 0, len(page)
     lower = page.lower() if len(page.lower()) == end else page  # same offsets, or closing tags as written
     while at < end:
         m = _TAG.search(page, at)
         if m is None or m.end() == at:
             pieces.append(page[at:])
+            if in_link:
+                linked.append(page[at:])
             break
         if m.start() > at:
             pieces.append(page[at : m.start()])
@@ -131,115 +160,117 @@ def blocks_of(page: str) -> list[Block]:
             close()
             in_link = False
             if closing:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), -1)
-                if depth >= 0:
-                    del stack[depth:]
+                if places.get(name):
+                    depth = places[name][-1]
+                    while len(stack) > depth:
+                        pop()
             else:
-                if stack and stack[-1][0] == "p" or stack and stack[-1][0] == name and name in ("li", "dd", "dt", "tr", "td", "th"):
-                    stack.pop()
+                if stack[-1].name == "p" or stack[-1].name == name and name in ("li", "dd", "dt", "tr", "td", "th"):
+                    pop()
                 if name in CONTENT:  # page furniture that was left open doesn't hold the article
-                    while stack and (stack[-1][0] in FURNITURE or stack[-1][1] or stack[-1][0] in ("ul", "ol", "li")):
-                        stack.pop()
+                    while stack[-1].name in FURNITURE or stack[-1].is_header or stack[-1].name in ("ul", "ol", "li"):
+                        pop()
                 if name not in VOID:
-                    names = _names(m[3]) if name not in ("html", "body") else frozenset()
-                    hinted = not names.isdisjoint(HINTS)
-                    stack.append((name, name == "header" or not names.isdisjoint(HEADERS), hinted, hinted and names.isdisjoint(WRAPPERS)))
+                    enter(name, m[3])
     close()
-    for i, b in enumerate(found):
-        before, after = (found[i - 1] if i else None), (found[i + 1] if i + 1 < len(found) else None)
-        b.around = tuple(x for o in (before, after) for x in ((o.words, o.density) if o else (0, 0.0)))
     return found
 
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "furniture", "header", "hinted", "content", "heading", "page_has_content")
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "aside", "place")
 
 
 def features(found: list[Block]) -> np.ndarray:
+    """A row a block. ``place``: 2 in the page's article element, 0 outside it, 1 if the page has none."""
     any_content = any(b.content for b in found)
-    return np.array([(b.words, b.density, *b.around, b.furniture, b.header, b.hinted, b.content, b.tag in HEADINGS, any_content) for b in found], dtype=float).reshape(len(found), len(FEATURES))
-
-
-# The labelled table is each place of the first list with each profile of the second, labelled by hand.
-# A place: (furniture, header, hinted, content, heading, page_has_content), and how its blocks are
-# labelled: article text always (1), never (0), or by the profile's own label (None).
-PLACES = (
-    ((0, 0, 0, 1, 0, 1), 1),
-    ((0, 0, 0, 1, 1, 1), 1),
-    ((0, 1, 0, 1, 1, 1), 1),
-    ((0, 1, 0, 1, 0, 1), 0),
-    ((1, 0, 0, 1, 0, 1), 0),
-    ((1, 0, 0, 1, 1, 1), 0),
-    ((0, 0, 1, 1, 0, 1), 0),
-    ((0, 0, 1, 1, 1, 1), 0),
-    ((0, 1, 1, 1, 1, 1), 0),
-    ((1, 0, 1, 1, 0, 1), 0),
-    ((0, 0, 0, 0, 0, 1), 0),
-    ((0, 0, 0, 0, 1, 1), 0),
-    ((0, 1, 0, 0, 0, 1), 0),
-    ((0, 1, 0, 0, 1, 1), 0),
-    ((1, 0, 0, 0, 0, 1), 0),
-    ((0, 0, 1, 0, 0, 1), 0),
-    ((0, 1, 1, 0, 1, 1), 0),
-    ((1, 0, 1, 0, 0, 1), 0),
-    ((0, 0, 0, 0, 0, 0), None),
-    ((0, 0, 0, 0, 1, 0), None),
-    ((0, 1, 0, 0, 0, 0), 0),
-    ((0, 1, 0, 0, 1, 0), 0),
-    ((1, 0, 0, 0, 0, 0), 0),
-    ((1, 0, 0, 0, 1, 0), 0),
-    ((0, 0, 1, 0, 0, 0), 0),
-    ((0, 0, 1, 0, 1, 0), 0),
-)
-#: A profile: (words, density, words before, density before, words after, density after), and its label.
-PROFILES = (
-    ((80, 0.0, 60, 0.0, 70, 0.0), 1),
-    ((35, 0.05, 9, 0.0, 120, 0.0), 1),
-    ((9, 0.0, 6, 1.0, 80, 0.0), 1),
-    ((9, 0.0, 14, 0.0, 40, 0.0), 1),
-    ((7, 0.0, 0, 0.0, 90, 0.0), 1),
-    ((3, 0.0, 60, 0.0, 55, 0.0), 1),
-    ((1, 0.0, 12, 0.0, 2, 0.0), 1),
-    ((2, 0.0, 30, 0.0, 40, 0.0), 1),
-    ((2, 0.0, 2, 0.0, 2, 0.0), 1),
-    ((150, 0.02, 45, 0.0, 9, 0.1), 1),
-    ((60, 0.25, 40, 0.0, 60, 0.0), 1),
-    ((400, 0.0, 1, 1.0, 0, 0.0), 1),
-    ((25, 0.1, 3, 1.0, 40, 0.0), 1),
-    ((40, 0.0, 60, 0.0, 4, 1.0), 1),
-    ((14, 0.2, 60, 0.0, 0, 0.0), 1),
-    ((1, 1.0, 0, 0.0, 1, 1.0), 0),
-    ((1, 1.0, 1, 1.0, 1, 1.0), 0),
-    ((3, 1.0, 60, 0.0, 9, 0.0), 0),
-    ((12, 0.6, 80, 0.0, 10, 0.9), 0),
-    ((30, 0.7, 50, 0.0, 20, 0.8), 0),
-    ((8, 0.9, 9, 0.0, 80, 0.0), 0),
-    ((5, 0.6, 0, 0.0, 0, 0.0), 0),
-    ((2, 0.0, 1, 1.0, 2, 1.0), 0),
-    ((4, 0.3, 3, 0.9, 3, 1.0), 0),
-)
-LABELLED = tuple(((*profile, *place), own if label is None else label) for place, label in PLACES for profile, own in PROFILES)
+    own = [(0.0, 0.0), *((float(b.words), b.density) for b in found), (0.0, 0.0)]
+    rows = [(*own[i + 1], *own[i], *own[i + 2], b.aside, 2 * b.content if any_content else 1) for i, b in enumerate(found)]
+    return np.array(rows, dtype=float).reshape(len(found), len(FEATURES))
+
+
+# The labelled table: a line is a page of a common layout, a token one of its blocks as a reader of the
+# page labels it: + article text, - not; its words, and after a slash how many of them are linked; ``!``
+# before it for page furniture, and [ ] around what stands in an article element.
+LABELLED_PAGES = """
+!-1/1 !-1/1 !-2/2 [ +8 +62 +3 +118 +41/2 +1 +75 ] !-14 !-9/3
+!-3/3 !-1/1 -12 [ +11 +2 +9 +140 +7 +88/9 -5/5 -4/4 -6/6 ] !-16/2
+-1/1 -1/1 -1/1 [ +6 +230 +4 +3 +2 +1 +95/1 !-8 !-30 +12 ] -10 -2/2
+!-4 !-22 [ !-3 +9 +55 +60/12 -7/7 +48 +1 +1 ] !-11
+-6 -2/2 -2/2 [ +7 +14 +33 -9/8 -12/12 +51 +5 !-40 !-35 !-60/2 ] -45 -30/20
+-8 -40 -3/3 [ +1 +2 +1 +3 +2 +1 ] -9 -12/1
+[ +400 ] !-7
+[ +9 +3 +4/1 +80 +16/3 +22 !-25 ] -3/3 -3/3 -2/2
+-1/1 -2/2 -1/1 -1/1 +7 +64 +90 +3 +71/3 -13/2 -4/4
+-2/2 -2/2 -3/3 +5 +38 +12 +44/2 +52 -6 -2/2 -2/2
+!-3 -1/1 -1/1 +10 +120 +140/6 +2 +95 -5/4 -6/6 -4/4 -11
+-4/4 -3/3 +9 +25/3 +60 +8 +55 +7 +48 -8/6 -12/11 !-20
+-2 -1/1 -2 -1/1 +6 +33 +14 +29 +9 +31 -3/3 -1/1 -10/1
++5 +45 +80 +7 +66 +4 +52
++3
++12 +30
++2 +9 +11 +8
+-1/1 -1/1 -3 -2/2 -3 -2/2 -2 -1/1 +8 +150 +170 -4/1 -9/8 -9/9
+-2/2 -15/12 -14/12 +6 +85 +23/4 +100 -18/15 -16/14 -3/3
+!-2 !-60 +7 +72 +3 +58 !-31 !-18/4 -9 -1/1
+-1/1 +8 +26 +31/1 +19 +22 -2/2 -2/2 -2/2 -2/2 -7
+-5/5 -6/6 -4/4 -7/7 -5/5 -3/3 -8
++9 +41 -5/5 -6/6 -4/4 +38 +60 -3/3 -12/2
+-1/1 -1/1 +4 +110 +6 +90/4 +5 +130 -4 -2/2 -3 -2/2
+!-1/1 !-1/1 [ +120 +60 +4 ] !-1/1 !-1/1 !-1/1
+-1/1 -1/1 +130 +70 +5 +40 -1/1 -2/2
+[ +9 +62 +5 ] -1/1 -1/1 -2/2
+!-1/1 [ +150 +1 ] !-1/1 !-3/3
+!-2/2 +90 +75 +30 !-2/2 !-12
+-3/3 [ +100 -4/4 +88 -1/1 +70 +2 ] -6/6
+[ +3 +5/1 +77 +6/2 ] !-5/5
++8 +60 -1/1 +90 -2/2 +85 -3/3
+!-1/1 !-2/2 [ +7 +1 +2 +1 +9 ] -2 -1/1
+!-5/4 [ +90 +2 +80 +13 ] !-40 !-60/5 !-90
+-2/2 +95 +12 +80 +9 +77 -9/9
+"""
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 10) -> tuple:
-    """A decision tree by Gini impurity: (share of 1,) or (feature, cut, low side, high side)."""
-    if depth == 0 or y.min() == y.max():
+def labelled_pages(table: str = LABELLED_PAGES) -> list[tuple[list[Block], list[bool]]]:
+    """The pages of a labelled table: their blocks, without text, and the blocks' labels."""
+    pages = []
+    for line in table.strip().splitlines():
+        found, labels, inside = [], [], False
+        for token in line.split():
+            if token in "[]":
+                inside = token == "["
+                continue
+            words, _, linked = token.lstrip("!+-").partition("/")
+            found.append(Block("", int(words), int(linked or 0), token.startswith("!"), inside))
+            labels.append("+" in token)
+        pages.append((found, labels))
+    return pages
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 4) -> tuple:
+    """A decision tree by Gini impurity: (share of 1,) or (feature, cut, low side, high side); a side has
+    ``least`` rows at least."""
+    if depth == 0 or len(y) < 2 * least or y.min() == y.max():
         return (float(y.mean()),)
     best = None
     for f in range(x.shape[1]):
         values = np.unique(x[:, f])
         for cut in (values[1:] + values[:-1]) / 2:
             low = x[:, f] < cut
+            if min(low.sum(), (~low).sum()) < least:
+                continue
             impurity = sum(len(s) * 2 * s.mean() * (1 - s.mean()) for s in (y[low], y[~low]))
             if best is None or impurity < best[0] - 1e-12:
                 best = (impurity, f, float(cut), low)
     if best is None:
         return (float(y.mean()),)
     _, f, cut, low = best
-    return (f, cut, grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1))
+    return (f, cut, grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least))
 
 
-def train(labelled=LABELLED) -> tuple:
-    return grow(np.array([row for row, _ in labelled], dtype=float), np.array([label for _, label in labelled], dtype=float))
+def train(pages: list[tuple[list[Block], list[bool]]] | None = None, used: tuple[str, ...] = FEATURES) -> tuple:
+    """The tree of labelled pages; features that are not ``used`` are held at 0."""
+    pages = labelled_pages() if pages is None else pages
+    x = np.concatenate([features(found) for found, _ in pages]) * [f in used for f in FEATURES]
+    return grow(x, np.array([label for _, labels in pages for label in labels], dtype=float))
 
 
 def decide(tree: tuple, row) -> bool:
@@ -254,9 +285,9 @@ def main_text(page: str | None, tree: tuple) -> str:
     return "\n".join(b.text for b, row in zip(found, rows, strict=True) if decide(tree, row))
 
 
-def html_extraction(pages: DataFrame, labelled=LABELLED, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def html_extraction(pages: DataFrame, labelled: str = LABELLED_PAGES, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars), one row per page; the whole html is read."""
-    tree = train(labelled)
+    tree = train(labelled_pages(labelled))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -8,12 +8,13 @@ the deadline ceil(F((i + 1) / q)), and the released block with the earliest dead
 slots up to the last are used, so every block meets its window and each source stays within one block
 of its exact share at every slot, also where others run out.
 
-Weights are whole numbers, so no window goes beyond a whole ``v``, and what lies between two is one
-period. Periods of the same sources repeat, so only one of each phase is scheduled, whatever the
+Weights are made whole numbers of the same proportions, so no window goes beyond a whole ``v``, and
+what lies between two is one period. Periods of the same sources repeat, so only one of each phase is scheduled, whatever the
 corpus: a phase lasts until a source has less than a period's blocks left; a period in which sources
 run out follows, and the next phase goes on without them. All documents are kept, each once.
 
-Defined results: a null source and an empty one are one source; a null or empty text has size 1; a
+Defined results: a source of weight 0 follows when all others ran out, with others of weight 0 by
+their default weights; a negative weight is an error; a null source and an empty one are one source; a null or empty text has size 1; a
 null doc_id is ordered like any value; rows that repeat are placed each; an empty table gives no
 rows; the number of sources is not limited.
 """
@@ -21,8 +22,10 @@ rows; the number of sources is not limited.
 from __future__ import annotations
 
 import heapq
+import math
 from bisect import bisect_left
 from collections.abc import Mapping, Sequence
+from fractions import Fraction
 from itertools import accumulate
 
 import pyarrow as pa
@@ -31,9 +34,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK = 65_536
-#: Weights are whole parts of so many, or of ``LEAST_PARTS`` a source where that is more.
+#: Default weights are whole parts of so many, or of ``LEAST_PARTS`` a source where that is more.
 RESOLUTION = 1_000
 LEAST_PARTS = 100
+#: Weights that have no common denominator up to this are rounded to whole parts of so many.
+MOST_PARTS = 100_000
 #: A plan of so many rows at most is broadcast.
 BROADCAST_PLAN = 100_000
 #: Without target weights, a source weighs its size to this power.
@@ -85,10 +90,25 @@ def period(quotas: Mapping[str, int], parts: Mapping[str, int] | None = None) ->
     return scheduled(quotas, windows(quotas, parts or quotas))
 
 
-def phases(blocks: Mapping[str, int], parts: Mapping[str, int]) -> list[tuple[str, int, int, int, int, int, list[int], list[int], list[int]]]:
+def whole_parts(shares: Mapping[str, Fraction | float], most: int = MOST_PARTS) -> dict[str, int]:
+    """The least whole numbers in exactly the proportions of ``shares``, all positive. Where they would
+    sum up to more than ``most``, whole parts of ``most`` instead, one at least."""
+    exact = {s: w if isinstance(w, Fraction) else Fraction(str(w)) for s, w in shares.items()}
+    if not exact:
+        return {}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    parts = {s: int(w * scale) for s, w in exact.items()}
+    common = math.gcd(*parts.values())
+    total = sum(parts.values())
+    if total // common <= max(most, LEAST_PARTS * len(parts)):
+        return {s: n // common for s, n in parts.items()}
+    return {s: max(1, round(Fraction(most * n, total))) for s, n in parts.items()}
+
+
+def phases(blocks: Mapping[str, int], parts: Mapping[str, int], now: int = 0) -> list[tuple[str, int, int, int, int, int, list[int], list[int], list[int]]]:
     """(source, first block, end block, quota, first slot, period length, slots, releases, deadlines
-    in a period)."""
-    left, used, now, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
+    in a period) from the slot ``now`` on."""
+    left, used, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), []
     while left:
         whole = min(left[s] // parts[s] for s in left)
         for quotas, times in (({s: parts[s] for s in left}, whole), ({s: min(parts[s], left[s] - whole * parts[s]) for s in left}, 1)):
@@ -138,12 +158,20 @@ def mixing(
     summed = whole.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("size")).toArrow().to_pydict()
     totals = {s: (n, size) for s, n, size in zip(summed["source"], summed["n"], summed["size"], strict=True)}
     own = {s: size**alpha for s, (_, size) in totals.items()}
-    rest = sum(own.values()) or 1.0
-    shares = {s: (weights or {}).get(s, own[s] / rest) for s in totals}
-    every = sum(shares.values()) or 1.0
+    given = dict(weights or {})
+    if any(w < 0 for w in given.values()):
+        raise ValueError("weights must not be negative")
     resolution = max(resolution, LEAST_PARTS * len(totals))
-    parts = {s: max(1, round(resolution * w / every)) for s, w in shares.items()}
-    planned = phases({s: -(-size // block) for s, (_, size) in totals.items()}, parts)
+
+    def by_size(sources: list[str]) -> dict[str, Fraction]:
+        every = sum(own.values()) or 1.0
+        return {s: Fraction(max(1, round(resolution * own[s] / every)), resolution) for s in sources}
+
+    shares = by_size([s for s in totals if s not in given]) | {s: Fraction(str(given[s])) for s in totals if given.get(s)}
+    blocks_of = {s: -(-size // block) for s, (_, size) in totals.items()}
+    planned = phases({s: blocks_of[s] for s in shares}, whole_parts(shares))
+    last = by_size([s for s in totals if s not in shares])  # weight 0
+    planned += phases({s: blocks_of[s] for s in last}, whole_parts(last), sum(blocks_of[s] for s in shares))
     # for each source at most two rows a phase, whatever the corpus; a phase ends with a source
     kinds = {"source": pa.string(), "low": pa.int64(), "high": pa.int64(), "quota": pa.int64(), "base": pa.int64(), "length": pa.int64()} | dict.fromkeys(("slots", "releases", "deadlines"), pa.list_(pa.int32()))
     plan = spark.createDataFrame(pa.table([pa.array([r[i] for r in planned], t) for i, t in enumerate(kinds.values())], names=list(kinds))).withColumnRenamed("source", "of")

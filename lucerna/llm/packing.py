@@ -15,7 +15,9 @@ repeat are packed each; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,8 +30,9 @@ from pyspark.sql import functions as F
 from lucerna.llm.common import settle
 
 CAPACITY, END = 1024, 2
-#: Searches stop after so many exchanges between classes; rows are never left out.
-MAX_MOVES = 20_000
+#: The rank encoder's pattern backtracks on long runs of white space and ends its process on very long
+#: ones; a text with a run of one kind that is longer goes to the tokenizers file itself.
+LONGEST_RUN = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 Classes = dict[tuple[int, ...], int]
@@ -56,13 +59,31 @@ def encoder(vocabulary: str):
     special = tuple(t["content"] for t in json.loads(Path(vocabulary).read_text())["added_tokens"])
 
     def encode(text: str) -> np.ndarray:
-        if any(s in text for s in special):
+        if any(s in text for s in special) or has_long_run(text):
+            return _exact(vocabulary, text)
+        try:
+            return np.array(fast.encode_ordinary(text), "<u4")
+        except (KeyboardInterrupt, SystemExit, MemoryError):
+            raise
+        except BaseException:  # a panic of the encoder is no Exception
             return _exact(vocabulary, text)
-        return np.array(fast.encode_ordinary(text), "<u4")
 
     return encode
 
 
+def has_long_run(text: str, longest: int = LONGEST_RUN) -> bool:
+    """Whether a run of white space, or of anything else, is longer than ``longest``."""
+    if len(text) <= longest:
+        return False
+    spaces = re.compile(r"\s+")
+    at = 0
+    for m in spaces.finditer(text):
+        if m.start() - at > longest or m.end() - m.start() > longest:
+            return True
+        at = m.end()
+    return len(text) - at > longest
+
+
 @lru_cache(maxsize=2)
 def _tokenizer(vocabulary: str):
     from tokenizers import Tokenizer
@@ -142,11 +163,15 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> Classes:
     return {items: bins for at in left.values() for items, bins in at.items()}
 
 
-def _gives(items: tuple[int, ...]) -> dict[int, tuple[int, ...]]:
-    """What a bin can give: {total: one or two of its items}."""
-    one = {a: (a,) for a in items}
-    two = {a + b: (a, b) for i, a in enumerate(items) for b in items[i + 1 :]} if len(items) <= 24 else {}
-    return two | one
+def _gives(items: tuple[int, ...]) -> tuple[dict[int, tuple[int, ...]], dict[int, tuple[int, ...]]]:
+    """What a bin can give: {total: its items}, one item each and two items each.
+
+    Made from the distinct lengths, which are few however many items the bin has."""
+    lengths = sorted(set(items))
+    one = {a: (a,) for a in lengths}
+    two = {a + b: (b, a) for i, a in enumerate(lengths) for b in lengths[i + 1 :]}
+    two |= {2 * a: (a, a) for a in lengths if items.count(a) > 1}
+    return one, two
 
 
 def _without(items: tuple[int, ...], gone: tuple[int, ...], new: tuple[int, ...]) -> tuple[int, ...]:
@@ -156,14 +181,19 @@ def _without(items: tuple[int, ...], gone: tuple[int, ...], new: tuple[int, ...]
     return tuple(sorted(rest + list(new), reverse=True))
 
 
-def improve(classes: Classes, capacity: int = CAPACITY, max_moves: int = MAX_MOVES) -> Classes:
-    """Local search between underfull bins: each exchange increases the sum of squared fills.
+def improve(classes: Classes, capacity: int = CAPACITY) -> Classes:
+    """Local search between underfull bins until no exchange is left: one for one, two for one, or a move.
 
-    A bin that gains d from another ends fuller than the other was iff the squares grow. For each
-    bin the largest gain is sought first; an exchange holds for as many bins as both classes have."""
+    Each exchange increases the sum of squared fills, a whole number, so the search ends. A bin that
+    gains d from another ends fuller than the other was iff the squares grow. For each bin the largest
+    gain is sought first, from the emptiest giver; an exchange holds for as many bins as both classes
+    have."""
     done = {c: n for c, n in classes.items() if sum(c) == capacity}
-    open_ = {c: n for c, n in classes.items() if sum(c) < capacity}
-    givers: dict[int, set[tuple[int, ...]]] = {}
+    start = {c: n for c, n in classes.items() if sum(c) < capacity}
+    open_: Classes = {}
+    #: by number of items given, by their total: the classes that can give it, the emptiest first
+    givers: tuple[dict[int, list[tuple[int, tuple[int, ...]]]], ...] = ({}, {})
+    waiting: list[tuple[int, ...]] = []
 
     def enter(c: tuple[int, ...], n: int) -> None:
         if not c or not n:
@@ -171,37 +201,42 @@ def improve(classes: Classes, capacity: int = CAPACITY, max_moves: int = MAX_MOV
         if sum(c) == capacity:
             done[c] = done.get(c, 0) + n
             return
+        if c not in open_:
+            for by_total, gives in zip(givers, _gives(c), strict=True):
+                for total in gives:
+                    insort(by_total.setdefault(total, []), (sum(c), c))
         open_[c] = open_.get(c, 0) + n
-        for total in _gives(c):
-            givers.setdefault(total, set()).add(c)
         waiting.append(c)
 
     def leave(c: tuple[int, ...], n: int) -> None:
         open_[c] -= n
         if not open_[c]:
             del open_[c]
-            for total in _gives(c):
-                givers[total].discard(c)
+            for by_total, gives in zip(givers, _gives(c), strict=True):
+                for total in gives:
+                    rest = by_total[total]
+                    del rest[bisect_left(rest, (sum(c), c))]
 
     def exchange(c: tuple[int, ...]) -> tuple | None:
         fill = sum(c)
-        own = [(0, ()), *sorted(_gives(c).items())]
+        one, two = _gives(c)
+        own = [(0, ()), *sorted(one.items()), *sorted(two.items())]
         for gain in range(capacity - fill, 0, -1):
             for lost, give in own:
-                others = [o for o in givers.get(lost + gain, ()) if sum(o) < fill + gain and (o != c or open_[c] > 1)]
-                if others:
-                    o = min(others, key=lambda o: (sum(o), o))
-                    take = _gives(o)[lost + gain]
-                    if len(give) + len(take) < 4:  # two for two is not among the exchanges
-                        return o, give, take
+                found = []
+                for taken, by_total in enumerate(givers[: 1 if len(give) == 2 else 2]):  # two for two is not among the exchanges
+                    for filled, o in by_total.get(lost + gain, ())[:2]:
+                        if filled < fill + gain and (o != c or open_[c] > 1):
+                            found.append((filled, o, taken))
+                            break
+                if found:
+                    _, o, taken = min(found)
+                    return o, give, _gives(o)[taken][lost + gain]
         return None
 
-    waiting: list[tuple[int, ...]] = []
-    start, open_ = open_, {}
     for c, n in sorted(start.items(), key=lambda x: (sum(x[0]), x[0])):
         enter(c, n)
-    moves = 0
-    while waiting and moves < max_moves:
+    while waiting:
         c = waiting.pop()
         if c in open_ and (found := exchange(c)):
             o, give, take = found
@@ -212,7 +247,6 @@ def improve(classes: Classes, capacity: int = CAPACITY, max_moves: int = MAX_MOV
             enter(_without(c, give, take), n)
             if c in open_:
                 waiting.append(c)
-            moves += 1
     return done | open_
 
 
