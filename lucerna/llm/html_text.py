@@ -206,6 +206,10 @@ LABELLED_PAGES = """
 -2 -1/1 -2 -1/1 +6 +33 +14 +29 +9 +31 -3/3 -1/1 -10/1
 +5 +45 +80 +7 +66 +4 +52
 +3
++5
++2
++8
++4 +6 +3
 +12 +30
 +2 +9 +11 +8
 -1/1 -1/1 -3 -2/2 -3 -2/2 -2 -1/1 +8 +150 +170 -4/1 -9/8 -9/9
