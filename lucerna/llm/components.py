@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lucerna.functions.shared import release
 from lucerna.llm.common import settle
 
 
@@ -19,9 +20,12 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.select(F.col("u").alias("node"), F.col("v").alias("to")).unionByName(edges.select(F.col("v").alias("node"), F.col("u").alias("to")))
         point = settle(both.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("root")), "pointers")
+        last = point
         while True:
             ahead = point.select(F.col("node").alias("root"), F.col("root").alias("next"))
             jumped = settle(point.join(ahead, "root").select("node", "root", "next"), "pointers")
+            release(last)
+            last = jumped
             moved = not jumped.where("root <> next").isEmpty()
             point = jumped.select("node", F.col("next").alias("root"))
             if not moved:
@@ -29,7 +33,10 @@ def components(edges: DataFrame) -> DataFrame:
         maps.append(point)
         u = point.select(F.col("node").alias("u"), F.col("root").alias("ru"))
         v = point.select(F.col("node").alias("v"), F.col("root").alias("rv"))
+        done = edges
         edges = settle(edges.join(u, "u").join(v, "v").where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "edges")
+        release(done)
+    release(edges)
     if not maps:
         return spark.createDataFrame([], "node long, root long")
     out = maps[0]

@@ -35,8 +35,10 @@ class IMatch:
     #: The upper end bounds the lexicon's size whatever the corpus: terms in a share f of all
     #: documents or more are at most (mean distinct terms of a document) / f; here f is 0.001.
     idf_band: tuple[float, float] = (1.6, 6.9)
-    #: Documents are dealt by doc_id >> span_bits; a bucket holds at most 2 ** span_bits ids.
-    span_bits: int = 10
+    #: Ids are dealt into so many buckets a shuffle partition, by quantiles; their list is a literal.
+    buckets: int = 8
+    #: The rows of an id that fills whole buckets are dealt into 2 ** bits buckets more, by text hash.
+    heavy_bits: int = 10
 
 
 def terms_of(text: Column) -> Column:
@@ -114,19 +116,33 @@ def successors(ids: DataFrame, column: str) -> DataFrame:
     return within.join(onward, "part").select(column, F.coalesce("next", "over").alias("next"))
 
 
+def bucket_of(docs: DataFrame, id_: str, hash_: str, p: IMatch) -> Column:
+    """A number for each row that falls with the id and, for one id, rises with the text hash; buckets hold
+    about as many rows each, wherever the ids lie and however many rows share one."""
+    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * p.buckets)
+    # one number a bucket; approximate quantiles do, as any bounds give the same result
+    cuts = docs.select(F.col(id_).alias("id")).agg(F.percentile_approx("id", F.array(*[F.lit(i / n) for i in range(1, n)]), 10 * n)).first()[0] or [] if n > 1 else []
+    heavy = sorted({a for a, b in zip(cuts, cuts[1:], strict=False) if a == b})
+    bounds = sorted(set(cuts) | set(heavy) | {h + 1 for h in heavy if h < LAST_ID})
+    place = F.size(F.filter(F.lit(bounds) if bounds else F.array().cast("array<bigint>"), lambda b: b <= F.col(id_))).cast("long")
+    fine = F.shiftrightunsigned(F.col(hash_).bitwiseXOR(F.lit(-(2**63))), 64 - p.heavy_bits)
+    return place * (1 << p.heavy_bits) + F.when(F.col(id_).isin(*heavy), (1 << p.heavy_bits) - 1 - fine).otherwise(0) if heavy else place
+
+
 def with_next(docs: DataFrame, columns: list[str], p: IMatch = IMatch()) -> DataFrame:
-    """``docs`` (id, ...) with ``next``: a struct of ``columns`` of the next document, by descending id.
+    """``docs`` (id, text, ...) with ``next``: a struct of ``columns`` of the next document, by descending
+    id, the rows of one id by text hash.
 
     Whole rows are shuffled once, by bucket of ids. The last document of a bucket needs the first of
-    the next bucket that has any; only those first rows move again."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.withColumn("bucket", F.shiftright("id", p.span_bits)).repartition(parts, "bucket")
-    down = W.partitionBy("bucket").orderBy(F.col("id").desc(), F.xxhash64(*columns))
+    the next bucket that has any; only those first rows, one a bucket, move again."""
+    hashed = docs.withColumn("hash", F.xxhash64("text"))
+    bucket = bucket_of(docs.select("id", F.lit(0).alias("hash")), "id", "hash", p)
+    dealt = hashed.withColumn("bucket", bucket).repartition("bucket")
+    down = W.partitionBy("bucket").orderBy(F.col("id").desc(), "hash")
     placed = dealt.withColumn("own", F.struct(*columns)).withColumn("nth", F.row_number().over(down)).withColumn("following", F.lead("own").over(down))
-    buckets = docs.select(F.shiftright("id", p.span_bits).alias("bucket"))
-    step = successors(buckets, "bucket").select(F.col("next").alias("bucket"), F.col("bucket").alias("before"))
+    step = successors(hashed.select(bucket.alias("bucket")), "bucket").select(F.col("next").alias("bucket"), F.col("bucket").alias("before"))
     heads = placed.where("nth = 1").join(step, "bucket").select(F.col("before").alias("bucket"), F.col("own").alias("head"))
-    return placed.join(heads, "bucket", "left").withColumn("next", F.coalesce("following", "head")).drop("bucket", "own", "nth", "following", "head")
+    return placed.join(heads, "bucket", "left").withColumn("next", F.coalesce("following", "head")).drop("bucket", "hash", "own", "nth", "following", "head")
 
 
 def fingerprints(docs: DataFrame, p: IMatch = IMatch(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:

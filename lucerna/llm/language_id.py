@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 ORDER = 5
 #: Fit on at most so many texts per language, the first by hash; every tenth of them calibrates.
 SAMPLE = 800
+#: And on so many characters of them; a longer text takes no part in the fit. Both bound what the driver
+#: reads, whatever the table.
+SAMPLE_CHARS = 8_000_000
 #: Characters that are worked on at once; longer texts are cut between words.
 CHUNK = 1_000_000
 UNKNOWN = "und"
@@ -320,8 +323,9 @@ def _calibrated(model: Model, check: dict[str, Sequence[str]]) -> Model:
     return Model(model.languages, model.levels, model.floor, min(losses, key=lambda a: (losses[a], a)), tuple(limits))
 
 
-def training_rows(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, text): the first ``sample`` texts per language by hash, none of a held-out document.
+def training_rows(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(lang, text): the first ``sample`` texts per language by hash, and of those the first that hold
+    together at most ``chars`` characters, none of a held-out document.
 
     A frequent language is first thinned by hash to a few times the sample, so that no task meets
     all its rows."""
@@ -333,15 +337,17 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id",
     open_ = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null and crc32(cast(doc_id as string)) % 4 <> 2")
     thin = open_.where(draw.cast("double") / 2.0**64 + 0.5 <= F.element_at(share, F.col("lang")))
     first = W.partitionBy("lang").orderBy(draw, "doc_id", F.xxhash64("text"))
-    return thin.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample).orderBy("lang", "nth").select("lang", "text")
+    drawn = thin.where(F.length("text") <= chars).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample)
+    summed = drawn.withColumn("chars", F.sum(F.length("text").cast("long")).over(W.partitionBy("lang").orderBy("nth")))
+    return summed.where(F.col("chars") <= chars).orderBy("lang", "nth").select("lang", "text")
 
 
-def language_id(docs: DataFrame, sample: int = SAMPLE, order: int = ORDER, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def language_id(docs: DataFrame, sample: int = SAMPLE, order: int = ORDER, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", chars: int = SAMPLE_CHARS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, cross_entropy, rejected), one row per document.
 
     ``rejected``: the best language's cross-entropy is above its calibrated limit."""
     samples: dict[str, list[str]] = {}
-    for r in training_rows(docs, sample, doc_id, text, lang).toLocalIterator():
+    for r in training_rows(docs, sample, doc_id, text, lang, chars).toLocalIterator():
         samples.setdefault(r["lang"], []).append(r["text"])
     # the model's size follows the sample, not the table
     shared = docs.sparkSession.sparkContext.broadcast(train(samples, order))

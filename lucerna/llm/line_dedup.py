@@ -80,11 +80,12 @@ def keep_runs(edges: Column) -> Column:
     return F.transform(F.slice(edges, 2, F.size(edges) - 1), lambda e, j: e - F.get(edges, j))
 
 
-def kept_text(text: Column, edges: Column) -> Column:
-    """The text without the lines that the bitmap drops: slices of the kept runs, joined again."""
-    runs = F.sequence(F.lit(0), F.size(edges) - 2, F.lit(2))
-    parts = let(lines_of(text), lambda lines: F.flatten(F.transform(runs, lambda k: F.slice(lines, F.get(edges, k) + 1, F.get(edges, k + 1) - F.get(edges, k)))))
-    return F.when(F.size(edges) == 2, text).otherwise(F.array_join(parts, "\n"))
+def kept_text(text: Column, runs: Column) -> Column:
+    """The text without the lines that the bitmap ``runs`` drops: the bitmap is unrolled to one flag a
+    line, and the flagged lines are joined again."""
+    flags = F.flatten(F.transform(runs, lambda n, j: F.array_repeat(j % 2 == 0, n)))
+    parts = let(flags, lambda keep: F.filter(lines_of(text), lambda _, i: F.get(keep, i)))
+    return F.when(F.size(runs) == 1, text).otherwise(F.array_join(parts, "\n"))
 
 
 def line_bitmaps(docs: DataFrame, min_chars: int = 10, salts: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -94,7 +95,8 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 10, salts: int = 64, doc_id:
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 10, salts: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every input row with ``n_lines``, ``n_dropped``, ``keep_runs`` (the bitmap) and ``kept`` (its text).
+    """Every input row with ``n_lines``, ``n_dropped``, ``keep_runs`` (the bitmap) and ``kept``, the text
+    that the bitmap leaves.
 
     Read ``kept`` only where the text is wanted; unread, Spark does not build it."""
     maps = line_bitmaps(docs, min_chars, salts, doc_id, text)
@@ -102,4 +104,5 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, salts: int = 64, doc_id: st
     joined = whole.join(maps, ["id", "body"], "left")
     n = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     edged = joined.select("row", "text", n.cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), keep_edges(n, F.col("dropped")).alias("edges"))
-    return edged.select("row", "n_lines", "n_dropped", keep_runs(F.col("edges")).alias("keep_runs"), kept_text(F.col("text"), F.col("edges")).alias("kept"))
+    mapped = edged.select("row", "text", "n_lines", "n_dropped", keep_runs(F.col("edges")).alias("keep_runs"))
+    return mapped.select("row", "n_lines", "n_dropped", "keep_runs", kept_text(F.col("text"), F.col("keep_runs")).alias("kept"))

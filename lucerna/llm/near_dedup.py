@@ -7,10 +7,10 @@ Classes are the connected components of the links.
 
 A bucket is never expanded into all its pairs. Its least member leads and is compared with the
 others; what is linked to the leader is one class. Left are pairs with a member that is apart from
-its leader. In a bucket of few members they are compared as they are. The members of larger buckets
-go through an exact prefix filter: two texts can reach the threshold only if they share a shingle
-among the rarest of each that make up more than the rest of its weight. Most texts that are apart
-from the others have so much of their own that they share none.
+its leader. The members of all buckets with such a one, large or small, go through an exact prefix
+filter: two texts can reach the threshold only if they share a shingle among the rarest of each that
+make up more than the rest of its weight. Most texts that are apart from the others have so much of
+their own that they share none.
 
 Defined results: equal texts are one class; a text without words is a class of its own; a text of
 fewer than five words has one shingle; a null doc_id is ordered last; an empty table gives no rows;
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lucerna.llm.common import LAST_ID, SPACES, settle
 from lucerna.llm.components import components
-from lucerna.llm.shingles import COUNTERS, Weighted, Words, chunks, counter_of, mix, shingle_hashes, weighted, word_rarity, words
+from lucerna.llm.shingles import COUNTERS, RARITY, Weighted, Words, chunks, counter_of, mix, shingle_hashes, weighted, word_rarity, words
 
 
 @dataclass(frozen=True)
@@ -43,8 +43,10 @@ class NearDedup:
     bands: int = 20
     rows: int = 4
     seed: int = 7
-    #: Buckets of so many members at most are small.
-    small: int = 64
+    #: How far rarity spreads the weights: they are counts times a factor from 1 - ``rarity`` to 1.
+    rarity: float = RARITY
+    #: A bucket's members are counted in so many parts before they are counted as one.
+    parts: int = 16
 
 
 @lru_cache(maxsize=2)
@@ -136,7 +138,7 @@ def signatures(docs: DataFrame, rarity, p: NearDedup) -> DataFrame:
         for batch in batches:
             parts = []
             for _, data, offsets in chunks(batch.column(3)):
-                w = weighted(words(data, offsets), rarity.value, p.width)
+                w = weighted(words(data, offsets), rarity.value, p.width, p.rarity)
                 hashes = band_hashes(icws(w, p.bands * p.rows, p.seed), p.bands, p.rows).view(np.int64)
                 full = np.diff(w.bounds) > 0
                 sizes = np.where(full, p.bands, 0)
@@ -154,7 +156,7 @@ def similarities(pairs: DataFrame, texts: DataFrame, rarity, p: NearDedup) -> Da
             sides: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
             for side, column in zip(sides, (2, 3), strict=True):
                 for _, data, offsets in chunks(batch.column(column)):
-                    w = weighted(words(data, offsets), rarity.value, p.width)
+                    w = weighted(words(data, offsets), rarity.value, p.width, p.rarity)
                     for i in range(len(w.bounds) - 1):
                         part = slice(w.bounds[i], w.bounds[i + 1])
                         order = np.argsort(w.hashes[part])
@@ -185,7 +187,7 @@ def prefixes(texts: DataFrame, rarity, p: NearDedup) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for at, data, offsets in chunks(batch.column(1)):
-                w = weighted(words(data, offsets), rarity.value, p.width)
+                w = weighted(words(data, offsets), rarity.value, p.width, p.rarity)
                 of = np.repeat(np.arange(len(offsets) - 1), np.diff(w.bounds))
                 df = counted.value[counter_of(w.hashes).astype(np.int64)]
                 order = np.lexsort((w.hashes, df, of))
@@ -202,8 +204,10 @@ def prefixes(texts: DataFrame, rarity, p: NearDedup) -> DataFrame:
 def links(bands: DataFrame, texts: DataFrame, rarity, p: NearDedup) -> DataFrame:
     """(u, v, s) of links between different texts that make up all classes, from (band, id, doc) rows."""
     # settled before it is joined: only a join of two plain shuffles can split a hot bucket's partition
-    sizes = settle(bands.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1"), "sizes")
-    live = settle(bands.join(sizes, "band"), "buckets")  # (band, id, doc, lead, n)
+    # counted by groups of map tasks first: a bucket that all tasks hold then gives a few rows, not one a task
+    counted = bands.groupBy("band", F.pmod(F.spark_partition_id(), F.lit(p.parts)).alias("part")).agg(F.min("id").alias("lead"), F.count("*").alias("n"))
+    sizes = settle(counted.groupBy("band").agg(F.min("lead").alias("lead"), F.sum("n").alias("n")).where("n > 1").select("band", "lead"), "sizes")
+    live = settle(bands.join(sizes, "band"), "buckets")  # (band, id, doc, lead)
     # whole texts are shuffled once, by a join that takes any number of candidates; repeated rows then
     # lie side by side
     texts = settle(texts.join(live.select("id", "doc").distinct().hint("shuffle_merge"), ["id", "doc"]).dropDuplicates(["id", "doc"]).drop("doc"), "candidates")
@@ -212,21 +216,18 @@ def links(bands: DataFrame, texts: DataFrame, rarity, p: NearDedup) -> DataFrame
     known = settle(similarities(led, texts, rarity, p), "similar")
     roots = components(known.where(enough))
 
-    apart = settle(live.where("id <> lead").join(known.where(~enough).select(F.col("u").alias("lead"), F.col("v").alias("id")), ["lead", "id"]).select("band", "id", "n"), "apart")
-    mates = live.where((F.col("id") != F.col("lead")) & (F.col("n") <= p.small)).select("band", F.col("id").alias("v"))
-    inside = apart.where(F.col("n") <= p.small).select("band", F.col("id").alias("u")).join(mates, "band")
-    wide = apart.where(F.col("n") > p.small)
-    crowd = live.join(wide.select("band").distinct(), "band").select("id").distinct()
+    apart = settle(live.where("id <> lead").join(known.where(~enough).select(F.col("u").alias("lead"), F.col("v").alias("id")), ["lead", "id"]).select("band", "id"), "apart")
+    crowd = live.join(apart.select("band").distinct(), "band").select("id").distinct()
     rare = settle(prefixes(settle(texts.join(crowd, "id"), "crowd"), rarity, p), "prefixes")
     named = rare.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    probe = named.join(wide.select("id").distinct(), "id", "left_semi")
+    probe = named.join(apart.select("id").distinct(), "id", "left_semi")
     side = lambda rows, x: rows.select("h", F.col("id").alias(x), F.col("root").alias(f"root_{x}"), F.col("all").alias(f"all_{x}"), (F.col("all") - F.col("before")).alias(f"most_{x}"))
     # texts whose first common shingle stands so far down in either order share less than the threshold
     # takes; further common shingles stand further down, so the test is exact on every one of them
     need = p.similarity / (1 + p.similarity) * (F.col("all_u") + F.col("all_v")) - 1e-6
     u, v = side(probe, "u"), side(named, "v")
     sharing = u.join(v, (u["h"] == v["h"]) & (F.col("root_u") != F.col("root_v")) & (F.least("most_u", "most_v") >= need))
-    pairs = inside.select("u", "v").unionByName(sharing.select("u", "v")).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs = sharing.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     root_u = roots.select(F.col("node").alias("u"), F.col("root").alias("root_u"))
     root_v = roots.select(F.col("node").alias("v"), F.col("root").alias("root_v"))
     open_ = pairs.join(root_u, "u", "left").join(root_v, "v", "left").where("root_u is null or root_v is null or root_u <> root_v").select("u", "v").join(known.select("u", "v"), ["u", "v"], "left_anti")

@@ -122,9 +122,9 @@ def word_rarity(df: np.ndarray, documents: int) -> np.ndarray:
     return (np.log((1.0 + documents) / (1.0 + own)) / np.log(2.0 + documents)).clip(0.0, 1.0).astype(np.float32)
 
 
-def weighted(w: Words, rarity: np.ndarray, width: int = WIDTH) -> Weighted:
+def weighted(w: Words, rarity: np.ndarray, width: int = WIDTH, spread: float = RARITY) -> Weighted:
     """TF-IDF: a shingle weighs its count in the text times an inverse document frequency from
-    1 - ``RARITY`` to 1, by the mean rarity of its words.
+    1 - ``spread`` to 1, by the mean rarity of its words.
 
     Rarity is that of the words, not of the shingle: near copies share their shingles, and rarity by
     shingle would make what they share light and what tells them apart heavy."""
@@ -145,4 +145,4 @@ def weighted(w: Words, rarity: np.ndarray, width: int = WIDTH) -> Weighted:
     count = np.diff(np.concatenate([at, [len(key)]]))
     # the prefix sums differ in their last bits from text to text; equal words must weigh the same
     grade = np.round(mean[order[at]] * 256) / 256
-    return Weighted(hashes[order[at]], (count * (1.0 - RARITY + RARITY * grade)).astype(np.float32), np.concatenate([np.searchsorted(text[order[at]], np.arange(texts)), [len(at)]]))
+    return Weighted(hashes[order[at]], (count * (1.0 - spread + spread * grade)).astype(np.float32), np.concatenate([np.searchsorted(text[order[at]], np.arange(texts)), [len(at)]]))

@@ -15,10 +15,19 @@ shared AS (
   SELECT key, min(doc_id) AS holder FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1),
 judged AS (
   SELECT k.doc_id, k.pos, k.line, s.holder IS NULL OR s.holder = k.doc_id AS keep
-  FROM keyed k LEFT JOIN shared s ON k.key = s.key)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT keep) AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (keep), '')) AS kept_sha256
-FROM judged GROUP BY doc_id
+  FROM keyed k LEFT JOIN shared s ON k.key = s.key),
+texts AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT keep) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (keep), '')) AS kept_sha256
+  FROM judged GROUP BY doc_id),
+islands AS (
+  SELECT doc_id, pos, keep, pos - row_number() OVER (PARTITION BY doc_id, keep ORDER BY pos) AS island FROM judged),
+runs AS (
+  SELECT doc_id, keep, min(pos) AS first, count(*) AS n FROM islands GROUP BY doc_id, keep, island),
+bitmaps AS (
+  SELECT doc_id, CASE WHEN arg_min(keep, first) THEN '' ELSE '0,' END || string_agg(n::VARCHAR, ',' ORDER BY first) || CASE WHEN arg_max(keep, first) THEN '' ELSE ',0' END AS keep_runs
+  FROM runs GROUP BY doc_id)
+SELECT doc_id, n_lines, n_dropped, kept_sha256, keep_runs FROM texts JOIN bitmaps USING (doc_id)
 """
 
 _OP7_BASE = r"""

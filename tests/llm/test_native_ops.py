@@ -150,3 +150,54 @@ def test_likeness_follows_similarity(spark):
     df = spark.createDataFrame([(got[0], got[1000], got[30])], "a string, b string, c string")
     near_s, far_s, same = df.select(fingerprints.likeness(df.a, df.b), fingerprints.likeness(df.a, df.c), fingerprints.likeness(df.a, df.a)).first()
     assert same == 1.0 and near_s > 0.6 and far_s < 0.3
+
+
+def spark_hash(value, seed=42):
+    """xxhash64 of Spark for strings, longs and arrays of longs."""
+    import xxhash
+
+    if isinstance(value, list):
+        for v in value:
+            seed = spark_hash(v, seed)
+        return seed
+    data = value.encode() if isinstance(value, str) else (value & (2**64 - 1)).to_bytes(8, "little")
+    return xxhash.xxh64(data, seed=seed & (2**64 - 1)).intdigest()
+
+
+def test_fingerprints_against_a_plain_version(spark):
+    """Terms, the band, all hashed subsets and their hashes, computed term by term."""
+    import math
+    import random
+
+    rng = random.Random(6)
+    docs = [(i, " ".join(f"T{int(rng.paretovariate(0.6)) % 900}" for _ in range(rng.randint(1, 400)))) for i in range(120)] + [(500, None), (501, "!?")]
+    p = fingerprints.IMatch(idf_band=(0.5, 3.0))
+    out = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprints(spark.createDataFrame(docs, "doc_id long, text string"), p).collect()}
+    terms = {d: set(re.findall(r"[^\W_]+", (t or "").lower())) for d, t in docs}
+    df = {}
+    for own in terms.values():
+        for t in own:
+            df[t] = df.get(t, 0) + 1
+    low, high = p.idf_band
+    for d, own in terms.items():
+        kept = sorted(t for t in own if low <= math.log(len(docs) / df[t]) <= high) or sorted(own)
+        hashes, parts = [spark_hash(t) for t in kept], []
+        for row in fingerprints.SUBSET_BITS:
+            first = 0
+            for bits in row:
+                chosen = [h for h in hashes if (h >> first) & ((1 << bits) - 1) == 0]
+                parts.append(f"{spark_hash(chosen):x}" if chosen else "-")
+                first += bits
+            hashes = [spark_hash(h) for h in hashes]
+        assert out[d] == ":".join(parts)
+
+
+def test_next_documents_of_many_null_and_equal_ids(spark):
+    import xxhash
+
+    rows = [(None if i % 2 else 7 if i % 3 else i * 10**9, f"text number {i} of them") for i in range(400)]
+    out = fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    signed = lambda t: xxhash.xxh64(t.encode(), seed=42).intdigest() - (2**64 if xxhash.xxh64(t.encode(), seed=42).intdigest() >= 2**63 else 0)
+    down = sorted(((common.LAST_ID if d is None else d, t) for d, t in rows), key=lambda r: (-r[0], signed(r[1])))
+    expected = sorted(hashlib.sha256((t[: len(t) - len(t) // 3] + down[(i + 1) % len(down)][1][: len(t) // 3]).encode()).hexdigest() for i, (_, t) in enumerate(down))
+    assert sorted(r["edited_sha256"] for r in out) == expected

@@ -239,20 +239,43 @@ def test_null_and_repeated_ids_are_told_apart_by_text(spark):
 
 
 def test_large_groups_are_exact(spark):
-    """Buckets beyond the small size go through the prefix filter; classes stay those of all pairs."""
+    """Texts of large buckets that are apart from their leader; with null and shared ids among them."""
+    import pyarrow as pa
+
     rng = random.Random(9)
     words = [f"v{i}" for i in range(3000)]
     base = [rng.choice(words) for _ in range(60)]
     texts = []
-    for _ in range(60):
+    for _ in range(90):
         copy = list(base)
         for _ in range(rng.randint(0, 4)):
             copy[rng.randrange(60)] = rng.choice(words)
         texts.append(" ".join(copy))
-    df = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], DOCS)
-    small = near_dedup.near_dedup(df, near_dedup.NearDedup(small=1000))
-    large = near_dedup.near_dedup(df, near_dedup.NearDedup(small=2))
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
+    texts = sorted(set(texts))
+    rows = [(None if i % 5 == 0 else 3 if i % 5 == 1 else i, t, None, None) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, DOCS)
+    rarity = shingles.word_rarity(near_dedup.word_counts(df), len(rows))
+    sides = []
+    for t in texts:
+        _, data, offsets = next(shingles.chunks(pa.array([t])))
+        w = shingles.weighted(shingles.words(data, offsets), rarity)
+        order = np.argsort(w.hashes)
+        sides.append((w.hashes[order], w.weights[order]))
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if near_dedup.jaccard(sides[i], sides[j]) >= 0.8 - 1e-9:
+                root[find(i)] = find(j)
+    groups = Counter(find(i) for i in range(len(texts)))
+    assert 1 < len(groups) < len(texts)
+    kept = near_dedup.keep_one(df).collect()
+    assert len(kept) == len(groups) and len({find(texts.index(r["text"])) for r in kept}) == len(groups)
 
 
 def test_sampling_agrees_with_similarity():
@@ -504,11 +527,176 @@ def test_urls(spark):
     assert url_filter.url_filter(df.limit(0)).collect() == []
 
 
-def test_boosted_trees_on_held_out_urls():
-    rng = random.Random(1)
-    rows = [(u, u.split("://")[1].split("/")[0].split("?")[0].lower(), "/" + u.split("://")[1].partition("/")[2].partition("?")[0], b) for u, b in url_filter.labelled_urls()]
-    rng.shuffle(rows)
-    model = url_filter.fit(rows[:500])
-    odds = model.odds(np.array([model.row(u, h, p) for u, h, p, _ in rows[500:]]))
-    assert ((odds > 0) == np.array([b for *_, b in rows[500:]])).mean() > 0.95
+def parsed(url):
+    rest = url.partition("://")[2]
+    host = rest.split("/")[0].split("?")[0].split("#")[0]
+    return url, host.lower(), rest[len(host) :].partition("?")[0].partition("#")[0]
+
+
+def test_boosted_trees_on_held_out_hosts():
+    """No host, nor any other of its registered name, is on both sides."""
+    rows = [(*parsed(u), b) for u, b in url_filter.labelled_urls()]
+    good = 0
+    for k in range(url_filter.FOLDS):
+        held = [r for r in rows if url_filter.fold_of(r[1]) == k]
+        model = url_filter.fit([r for r in rows if url_filter.fold_of(r[1]) != k])
+        odds = model.odds(np.array([model.row(*r[:3]) for r in held]))
+        good += int(((odds > 0) == np.array([r[3] for r in held])).sum())
+    assert good / len(rows) > 0.9
     assert url_filter.fit([]).trees == () and url_filter.fit(rows[:1]).trees == ()
+
+
+def test_suffix_rates_are_out_of_fold():
+    """Where each registered name has a suffix of its own, rates of other folds say nothing, so no tree asks
+    for them; rates over the same rows would tell every label."""
+    rows = [(*parsed(f"http://s{i}.zone{i}/x{k}"), i % 2 == 0) for i in range(60) for k in range(4)]
+    first = len(url_filter.lexical(*rows[0][:3]))
+    asked = lambda tree: set() if len(tree) == 1 else {tree[0]} | asked(tree[2]) | asked(tree[3])
+    assert not {first, first + 1} & set().union(*map(asked, url_filter.fit(rows).trees))
+
+
+# extremes
+
+
+@pytest.mark.parametrize("text", [" " * 1_500_000, "\n" * 1_000_000, "a" * 1_500_000, "ab  c\n\n\t" * 250_000, "x" + " " * 60_000 + "y", "1" * 500_000])
+def test_extreme_texts_are_encoded(vocabulary, text):
+    from tokenizers import Tokenizer
+
+    assert list(packing.encoder(vocabulary)(text)) == Tokenizer.from_file(vocabulary).encode(text, add_special_tokens=False).ids
+
+
+def fewest(items, capacity):
+    best = [len(items)]
+
+    def put(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] + items[i] <= capacity and bins[k] not in bins[:k]:
+                put(i + 1, [*bins[:k], bins[k] + items[i], *bins[k + 1 :]])
+        put(i + 1, [*bins, items[i]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_packing_is_near_the_optimum_of_small_bags():
+    rng = random.Random(3)
+    over = 0
+    for _ in range(150):
+        items = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 11))), reverse=True)
+        found = sum(packing.improve(packing.best_fit(Counter(items), 20), 20).values())
+        over += found - fewest(items, 20)
+    assert over <= 2
+
+
+def test_bins_of_many_items_take_part():
+    start = {(1,) * 100 + (3,): 1, (90, 8): 1, (95,): 2}
+    found = packing.improve(start, 105)
+    again = Counter(x for items, n in found.items() for x in items * n)
+    assert again == Counter({1: 100, 3: 1, 90: 1, 8: 1, 95: 2}) and sum(n * sum(c) ** 2 for c, n in found.items()) > sum(n * sum(c) ** 2 for c, n in start.items())
+
+
+def test_weights_are_exact_and_zero_comes_last(spark):
+    assert mixing.whole_parts({"a": 0.8, "b": 0.2}) == {"a": 4, "b": 1} and mixing.whole_parts({"a": 0.9999, "b": 0.0001}) == {"a": 9999, "b": 1} and mixing.whole_parts({}) == {}
+    odd = mixing.whole_parts({"a": 1 / 3, "b": 2 / 3})
+    assert abs(odd["a"] / sum(odd.values()) - 1 / 3) < 1e-5
+    rows = [(i, "x" * 100, "en", "abz"[i % 3]) for i in range(600)]
+    out = mixing.mixing(spark.createDataFrame(rows, DOCS), {"a": 0.8, "b": 0.2, "z": 0}, block=100).orderBy("position").collect()
+    got = [r["source"] for r in out]
+    assert len(got) == 600 and set(got[400:]) == {"z"} and "z" not in got[:400]
+    assert all(abs(got[:t].count("a") - 0.8 * t) < 1 for t in range(250))
+    with pytest.raises(ValueError):
+        mixing.mixing(spark.createDataFrame(rows, DOCS), {"a": -1})
+
+
+@pytest.mark.parametrize("sizes", [(1, 1), (5000, 7), (3, 4000), (1500, 1500)])
+def test_deviation_from_asked_weights(sizes):
+    weights = {"a": 0.7, "b": 0.3}
+    blocks = dict(zip("ab", sizes, strict=True))
+    order = {}
+    for s, low, high, quota, base, length, slots, _, _ in mixing.phases(blocks, mixing.whole_parts(weights)):
+        for i in range(low, high):
+            turn, k = divmod(i - low, quota)
+            order[base + turn * length + slots[k]] = s
+    seen = Counter()
+    for t in range(sum(sizes)):
+        seen[order[t]] += 1
+        if any(seen[s] == blocks[s] for s in blocks):
+            break
+        assert all(abs(seen[s] - w * (t + 1)) < 1 for s, w in weights.items())
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    tree = html_text.train()
+    begin = time.perf_counter()
+    for part in ("<div>x ", "<div class=ad>x ", "<p>y</b></section>", "<li><ul>a", "<article><p>x", "</p>x", "<nav>x</div>"):
+        html_text.main_text(part * 50_000, tree)
+    assert time.perf_counter() - begin < 60
+
+
+def test_densities_and_neighbours_decide_on_held_out_pages():
+    pages = html_text.labelled_pages()
+
+    def accuracy(used):
+        good = n = 0
+        for k in range(4):
+            tree = html_text.train([p for i, p in enumerate(pages) if i % 4 != k], used)
+            for found, labels in pages[k::4]:
+                rows = html_text.features(found) * [f in used for f in html_text.FEATURES]
+                good += sum(html_text.decide(tree, row) == label for row, label in zip(rows.tolist(), labels, strict=True))
+                n += len(labels)
+        return good / n
+
+    every = accuracy(html_text.FEATURES)
+    assert every > 0.94
+    assert accuracy(("words", "density", "aside", "place")) < every - 0.01 and accuracy(("words", "words_before", "words_after", "aside", "place")) < every - 0.05 and accuracy(("aside", "place")) < every - 0.15
+
+
+@pytest.mark.parametrize("size", [8, 12, 20])
+def test_passages_of_common_seeds(spark, size):
+    """Every part of a passage is also a snippet in earlier documents, some in many."""
+    rng = random.Random(size)
+    words = [f"w{i}" for i in range(50_000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    docs, want, n = [], set(), 0
+    for i in range(10):
+        passage = text(100)
+        for k in range(0, 100, size):
+            for _ in range(1 if i % 2 else 12):
+                docs.append((n, " ".join(text(20) + passage[k : k + size] + text(20))))
+                n += 1
+        docs += [(9000 + 2 * i, " ".join(text(30) + passage + text(30))), (9001 + 2 * i, " ".join(text(40) + passage + text(10)))]
+        want.add((9001 + 2 * i, 9000 + 2 * i))
+    found = {(r["doc_id"], r["other_id"]) for r in substring_dedup.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == want
+
+
+def test_passages_of_shared_and_null_ids_and_long_texts(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(50_000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    p, q, r = text(80), text(80), text(80)
+    long = text(100_000)
+    long[70_000:70_000] = r
+    docs = [(7, text(30) + p), (7, q + text(40)), (None, text(60) + p), (None, q + text(20)), (9, long), (8, text(10) + r)]
+    out = substring_dedup.repeated_passages(spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string")).collect()
+    spans = {(x["doc_id"], x["other_id"], x["start"], x["end"], x["other_start"], x["other_end"]) for x in out}
+    assert spans == {(None, 7, 60, 140, 30, 110), (None, 7, 0, 80, 0, 80), (9, 8, 70_000, 70_080, 10, 90)}
+
+
+def test_unlearned_languages_are_rejected(spark):
+    rng = random.Random(1)
+    learned = {"xx": ["tala", "mino", "veru", "sado", "limani", "orato"], "yy": ["schkrt", "pfnurg", "zwolt", "krampf", "strugl"]}
+    rows = [(i, " ".join(rng.choice(learned[s]) for _ in range(60)), s, "src") for i, s in enumerate(["xx", "yy"] * 150)]
+    rows += [(1000 + i, " ".join(rng.choice(["ңәрсә", "өмүү", "ҡыҙыл", "тәүге"]) for _ in range(60)), None, "src") for i in range(5)]
+    out = {r["doc_id"]: r for r in language_id.language_id(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(out[1000 + i]["rejected"] for i in range(5))
+    assert sum(out[i]["rejected"] for i in range(300)) <= 3 and all(out[r[0]]["lang_pred"] == r[2] for r in rows if r[2])
+    few = language_id.training_rows(spark.createDataFrame(rows, DOCS), chars=2_000).collect()
+    assert few and all(sum(len(r["text"]) for r in few if r["lang"] == s) <= 2_000 for s in learned)
