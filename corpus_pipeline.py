@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lucerna.llm.common import settle, table
+from lucerna.llm.common import SPACES, settle, table
 from lucerna.llm.line_dedup import line_dedup
 from lucerna.llm.mixing import mixing
 from lucerna.llm.near_dedup import keep_one
@@ -24,8 +24,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document without the lines that an earlier one holds; its n_chars follows."""
+    """Each document without the lines that an earlier one holds; its n_chars follows. A document that
+    loses its lines and has no word left goes: earlier documents hold all that it had."""
     out = line_dedup(docs)
+    out = out.where(~((F.col("n_dropped") > 0) & (F.btrim(F.col("kept"), F.lit(SPACES)) == "")))
     text = F.when(F.col("n_dropped") == 0, F.col("row.text")).otherwise(F.col("kept"))
     n_chars = F.when(F.col("n_dropped") == 0, F.col("row.n_chars")).otherwise(F.length("kept").cast("long"))
     return out.select(*[{"text": text, "n_chars": n_chars}.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
