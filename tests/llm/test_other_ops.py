@@ -700,3 +700,26 @@ def test_unlearned_languages_are_rejected(spark):
     assert sum(out[i]["rejected"] for i in range(300)) <= 3 and all(out[r[0]]["lang_pred"] == r[2] for r in rows if r[2])
     few = language_id.training_rows(spark.createDataFrame(rows, DOCS), chars=2_000).collect()
     assert few and all(sum(len(r["text"]) for r in few if r["lang"] == s) <= 2_000 for s in learned)
+
+
+def test_runs_that_reach_all_words():
+    """The kept runs of a pair are some of them and reach the same words of both sides; of runs that slide
+    along a text that goes round, about as many are kept as fit into it twice."""
+    distinct_runs, spaced = substring_dedup.distinct_runs, substring_dedup.spaced
+
+    rng = random.Random(5)
+    reached = lambda runs, lo, hi: {x for r in runs for x in range(r[lo], r[hi])}
+    for _ in range(500):
+        starts = [(rng.randrange(40), rng.randrange(40)) for _ in range(rng.randint(1, 12))]
+        runs = [(x, x + rng.randint(1, 15), y, y + rng.randint(1, 15), 1.0) for x, y in starts]
+        kept = distinct_runs(runs)
+        assert set(kept) <= set(runs)
+        assert all(reached(kept, *side) == reached(runs, *side) for side in ((0, 1), (2, 3)))
+    assert len(distinct_runs([(x, x + 70, 0, 70, 1.0) for x in range(0, 700, 2)])) <= 2 * 770 // 70
+
+    p = substring_dedup.Passages()
+    kept = spaced([(x, 7) for x in range(100, 900)] + [(x, 9) for x in (0, 50, 57)], p)
+    assert {(100, 7), (899, 7), (0, 9), (50, 9), (57, 9)} <= set(kept)
+    places = [x for x, y in kept if y == 7]
+    assert max(b - a for a, b in zip(places, places[1:])) <= p.min_words // 2
+    assert len(kept) < 60
