@@ -6,9 +6,10 @@ put similar texts into common buckets, and the exact weighted Jaccard similarity
 Classes are the connected components of the links.
 
 A bucket is never expanded into all its pairs. Its least member leads and is compared with the
-others; what is linked to the leader is one class. Left are pairs with a member that is apart from
-its leader. The members of all buckets with such a one, large or small, go through an exact prefix
-filter: two texts can reach the threshold only if they share a shingle among the rarest of each that
+others; what is linked to the leader is one class. Buckets that still have several classes get new
+leaders in turns, drawn by a hash, which are compared with the members of other classes only, as long
+as enough of these comparisons link classes. Left are pairs with a member outside its bucket's largest
+class. The members of all buckets with such a one, large or small, go through an exact prefix filter: two texts can reach the threshold only if they share a shingle among the rarest of each that
 make up more than the rest of its weight. Most texts that are apart from the others have so much of
 their own that they share none.
 
@@ -21,6 +22,7 @@ of their own, and rows with the same doc_id and text are one.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -47,6 +49,10 @@ class NearDedup:
     rarity: float = RARITY
     #: A bucket's members are counted in so many parts before they are counted as one.
     parts: int = 16
+    #: So many shingles before it tell a common shingle that the pair had an earlier one.
+    window: int = 8
+    #: Buckets get new leaders as long as this share of the comparisons with the last ones were links.
+    worth: float = 0.02
 
 
 @lru_cache(maxsize=2)
@@ -175,9 +181,9 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def prefixes(texts: DataFrame, rarity, p: NearDedup) -> DataFrame:
-    """(id, h, before, all): each text's rarest shingles, by frequency among ``texts``, that weigh together
+    """(id, h, before, all, earlier): each text's rarest shingles, by frequency among ``texts``, that weigh together
     just more than what two texts of the threshold's similarity may not share, with the weight of rarer
-    ones and the text's whole weight; those of no other text left out.
+    ones, the text's whole weight and the nearest shingles before it; those of no other text left out.
 
     Any order that is one for all texts serves the filter. Hashed counters give it: they can only
     make a shingle look more frequent than it is, which leaves nothing out."""
@@ -196,9 +202,40 @@ def prefixes(texts: DataFrame, rarity, p: NearDedup) -> DataFrame:
                 before = summed[:-1] - summed[w.bounds[:-1]][of]
                 whole = (summed[w.bounds[1:]] - summed[w.bounds[:-1]])[of]
                 kept = (before <= (1 - p.similarity) * whole + 1e-6) & (df[order] > 1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at + of[kept]]), pa.array(w.hashes[order][kept].view(np.int64)), pa.array(before[kept]), pa.array(whole[kept])], ["id", "h", "before", "all"])
+                mine, hashes, row = of[kept], w.hashes[order][kept].view(np.int64), np.arange(int(kept.sum()))
+                sizes = np.minimum(row - np.searchsorted(mine, mine), p.window)
+                ends = np.cumsum(sizes)
+                nearest = hashes[np.repeat(row - ends, sizes) + np.arange(int(sizes.sum()))]
+                earlier = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(nearest))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at + mine]), pa.array(hashes), pa.array(before[kept]), pa.array(whole[kept]), earlier], ["id", "h", "before", "all", "earlier"])
 
-    return texts.select("id", "text").mapInArrow(pick, "id long, h long, before double, all double")
+    return texts.select("id", "text").mapInArrow(pick, "id long, h long, before double, all double, earlier array<long>")
+
+
+def led_in_turns(live: DataFrame, texts: DataFrame, known: DataFrame, rarity, p: NearDedup) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(known, roots, apart): similarities with all leaders so far, (node, root) by their links, and
+    (band, id) of a bucket's members outside its largest class."""
+    enough = F.col("s") >= p.similarity - 1e-9
+    share = 1.0
+    for turn in itertools.count(1):
+        roots = components(known.where(enough))
+        named = live.select("band", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+        rooted = settle(named.withColumn("root", F.coalesce("root", "id")), "rooted")
+        drawn = F.min(F.struct(F.xxhash64("id", "band", F.lit(turn)), "id")).alias("lead")
+        parts = rooted.groupBy("band", "root", F.pmod(F.spark_partition_id(), F.lit(p.parts))).agg(F.count("*").alias("n"), drawn)
+        by_root = parts.groupBy("band", "root").agg(F.sum("n").alias("n"), F.min("lead").alias("lead"))
+        several = by_root.groupBy("band").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root")).alias("most"), F.min(F.struct("lead", "root")).alias("next")).where("roots > 1")
+        several = settle(several.select("band", F.col("most.root").alias("most"), F.col("next.lead.id").alias("lead"), F.col("next.root").alias("lead_root")), "several")
+        inside = rooted.join(several, "band")
+        if share >= p.worth:
+            pairs = inside.where("root <> lead_root").select(F.least("lead", "id").alias("u"), F.greatest("lead", "id").alias("v")).distinct()
+            fresh = settle(similarities(pairs.join(known.select("u", "v"), ["u", "v"], "left_anti"), texts, rarity, p), "similar")
+            n, near = fresh.agg(F.count("*"), F.count_if(enough)).first()
+            known = known.unionByName(fresh)
+            share = near / n if n else 0.0
+            if near:
+                continue
+        return known, roots, settle(inside.where("root <> most").select("band", "id"), "apart")
 
 
 def links(bands: DataFrame, texts: DataFrame, rarity, p: NearDedup) -> DataFrame:
@@ -212,21 +249,21 @@ def links(bands: DataFrame, texts: DataFrame, rarity, p: NearDedup) -> DataFrame
     # lie side by side
     texts = settle(texts.join(live.select("id", "doc").distinct().hint("shuffle_merge"), ["id", "doc"]).dropDuplicates(["id", "doc"]).drop("doc"), "candidates")
     enough = F.col("s") >= p.similarity - 1e-9
-    led = live.where("id <> lead").select(F.col("lead").alias("u"), F.col("id").alias("v")).distinct()
+    led = live.where("id <> lead").select(F.least("lead", "id").alias("u"), F.greatest("lead", "id").alias("v")).distinct()
     known = settle(similarities(led, texts, rarity, p), "similar")
-    roots = components(known.where(enough))
+    known, roots, apart = led_in_turns(live, texts, known, rarity, p)
 
-    apart = settle(live.where("id <> lead").join(known.where(~enough).select(F.col("u").alias("lead"), F.col("v").alias("id")), ["lead", "id"]).select("band", "id"), "apart")
     crowd = live.join(apart.select("band").distinct(), "band").select("id").distinct()
     rare = settle(prefixes(settle(texts.join(crowd, "id"), "crowd"), rarity, p), "prefixes")
     named = rare.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     probe = named.join(apart.select("id").distinct(), "id", "left_semi")
-    side = lambda rows, x: rows.select("h", F.col("id").alias(x), F.col("root").alias(f"root_{x}"), F.col("all").alias(f"all_{x}"), (F.col("all") - F.col("before")).alias(f"most_{x}"))
+    side = lambda rows, x: rows.select("h", F.col("id").alias(x), F.col("root").alias(f"root_{x}"), F.col("earlier").alias(f"earlier_{x}"), F.col("all").alias(f"all_{x}"), (F.col("all") - F.col("before")).alias(f"most_{x}"))
     # texts whose first common shingle stands so far down in either order share less than the threshold
-    # takes; further common shingles stand further down, so the test is exact on every one of them
+    # takes; further common shingles stand further down, so the test is exact on every one of them. A pair's
+    # first common shingle has no other before it and gives the pair; of the rest, most have one in reach
     need = p.similarity / (1 + p.similarity) * (F.col("all_u") + F.col("all_v")) - 1e-6
     u, v = side(probe, "u"), side(named, "v")
-    sharing = u.join(v, (u["h"] == v["h"]) & (F.col("root_u") != F.col("root_v")) & (F.least("most_u", "most_v") >= need))
+    sharing = u.join(v, (u["h"] == v["h"]) & (F.col("root_u") != F.col("root_v")) & (F.least("most_u", "most_v") >= need) & ~F.arrays_overlap("earlier_u", "earlier_v"))
     pairs = sharing.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     root_u = roots.select(F.col("node").alias("u"), F.col("root").alias("root_u"))
     root_v = roots.select(F.col("node").alias("v"), F.col("root").alias("root_v"))
