@@ -23,32 +23,39 @@ REASONS = {
 }
 
 
-def relevant(path: Column, text: Column, is_elf: Column) -> Column:
+def relevant(path: Column, shell: Column, language: Column, is_elf: Column) -> Column:
     """Manifest, ELF, QML, shell, or a language that is recognised. Suffixes count without content, too."""
     service = F.lower(P.extension(path)).isin(".desktop", ".service", ".socket", ".timer")
-    return (path == "manifest.json") | is_elf | P.is_qml(path) | P.is_shell(path, text) | P.unsupported_language(path, text).isNotNull() | service
+    return (path == "manifest.json") | is_elf | P.is_qml(path) | shell | language.isNotNull() | service
 
 
 def dispositions(inventory: DataFrame, contents: DataFrame, limitations: DataFrame, errors: DataFrame) -> DataFrame:
-    """``inventory`` with ``analysis`` and ``analysis_reason``; the first rung that fits decides."""
+    """``inventory`` with ``analysis`` and ``analysis_reason``; the first rung that fits decides. ``contents``
+    are files with their content, or with what ``extract.sources`` says of it."""
     flag = lambda rows, name: rows.where("path is not null and path <> ''").select("target_id", "path").distinct().withColumn(name, F.lit(True))
-    heads = contents.select("target_id", "path", F.substring_index(text_of(F.col("content")), "\n", 1).alias("_text"))
+    if "language" not in contents.columns:
+        text = text_of(F.col("content"))
+        contents = contents.select("target_id", "path", P.is_shell(F.col("path"), text).alias("shell"), P.unsupported_language(F.col("path"), text).alias("language"))
+    heads = contents.select("target_id", "path", F.col("shell").alias("_shell"), F.col("language").alias("_language"))
     joined = inventory.join(heads, ["target_id", "path"], "left").join(flag(limitations, "_limited"), ["target_id", "path"], "left").join(flag(errors, "_failed"), ["target_id", "path"], "left")
-    path, text = F.col("path"), F.col("_text")
+    path, unread = F.col("path"), F.lit(None).cast("string")
+    # a file without content is known by its suffix
+    shell = F.coalesce("_shell", P.is_shell(path, unread))
+    language = F.coalesce("_language", P.unsupported_language(path, unread))
     elf = F.col("binary").isNotNull() | F.coalesce(F.col("content_type") == "application/x-elf", F.lit(False))
     service = F.lower(P.extension(path)).isin(".desktop", ".service", ".socket", ".timer")
     rung = (
-        F.when((F.col("kind") != "regular") | ~relevant(path, text, elf), "not-applicable")
+        F.when((F.col("kind") != "regular") | ~relevant(path, shell, language, elf), "not-applicable")
         .when(F.col("_failed") | ~F.col("inspected"), "unread")
         .when(service & ~elf, "language")
-        .when(P.unsupported_language(path, text).isNotNull(), "language")
+        .when(language.isNotNull(), "language")
         .when(elf | F.col("_limited"), "partial")
         .otherwise("analyzed")
     )
     named = joined.withColumn("_rung", rung)
     analysis = F.when(F.col("_rung").isin("unread", "language"), "unanalyzed").otherwise(F.col("_rung"))
     reason = F.coalesce(*[F.when(F.col("_rung") == k, v) for k, v in REASONS.items()], F.lit(""))
-    return named.withColumn("analysis", analysis).withColumn("analysis_reason", reason).drop("_text", "_limited", "_failed", "_rung")
+    return named.withColumn("analysis", analysis).withColumn("analysis_reason", reason).drop("_shell", "_language", "_limited", "_failed", "_rung")
 
 
 def _percentage(analyzed: Column, total: Column) -> Column:

