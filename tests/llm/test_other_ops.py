@@ -725,3 +725,38 @@ def test_runs_that_reach_all_words():
     places = [x for x, y in kept if y == 7]
     assert max(b - a for a, b in zip(places, places[1:])) <= p.min_words // 2
     assert len(kept) < 60
+
+
+def test_passage_of_common_snippets(spark):
+    """Every run of seeds of a passage is also a snippet, too short to be a passage, of more texts than seeds match."""
+    rng = random.Random(21)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    docs, wanted = [], set()
+    for k in range(3):
+        passage = own(100)
+        for n in range(14 * 6):
+            docs.append((len(docs), own(30) + passage[n // 6 * 4 : n // 6 * 4 + 48] + own(30)))
+        # one copy is whole, another has words left out and put in
+        other = [x for i, x in enumerate(passage) for x in ([] if k and i % 23 == 11 else [x, *own(1)] if k and i % 23 == 20 else [x])]
+        docs += [(1000 + 2 * k, own(70) + passage + own(70)), (1001 + 2 * k, own(70) + other + own(70))]
+        wanted.add((1001 + 2 * k, 1000 + 2 * k))
+    out = substring_dedup.repeated_passages(spark.createDataFrame([(d, " ".join(x)) for d, x in docs], "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in out} == wanted
+    assert all(r["end"] - r["start"] >= 90 and r["identity"] >= 0.8 for r in out)
+
+
+def test_bound_on_windows_is_exact():
+    rng = random.Random(22)
+    p = substring_dedup.Passages()
+    pack = lambda x: np.array(x, "<u2").tobytes()
+    for _ in range(200):
+        base = [rng.randrange(rng.choice((3, 50, 60_000))) for _ in range(rng.randrange(50, 134))]
+        wrong = set(rng.sample(range(50), 10))
+        edited = []
+        for i, x in enumerate(base):
+            edited += [x] if i >= 50 or i not in wrong else rng.choice(([rng.randrange(60_000)], [], [x, rng.randrange(60_000)]))
+        pair = [(1, 11, pack(base), []), (2, 12, pack(edited), [])]
+        assert len(edited) < 40 or substring_dedup.may_meet(pair, None, p) == [(12, 11)] == substring_dedup.may_meet(pair[:1], pair[1:], p)
+    near = [(i, 10 + i, pack(base[:60]), [7] if i < 2 else []) for i in range(3)]
+    assert sorted(substring_dedup.may_meet(near, None, p)) == [(12, 10), (12, 11)]
+    assert substring_dedup.may_meet([(1, 11, pack(range(133)), []), (2, 12, pack(range(200, 333)), [])], None, p) == []
