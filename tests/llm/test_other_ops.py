@@ -760,3 +760,26 @@ def test_bound_on_windows_is_exact():
     near = [(i, 10 + i, pack(base[:60]), [7] if i < 2 else []) for i in range(3)]
     assert sorted(substring_dedup.may_meet(near, None, p)) == [(12, 10), (12, 11)]
     assert substring_dedup.may_meet([(1, 11, pack(range(133)), []), (2, 12, pack(range(200, 333)), [])], None, p) == []
+
+
+def test_holders_of_a_seed_that_goes_round_meet_by_one():
+    """Stretches that go round are linked by one key and not compared with one another; of a large group, rare
+    3-mers give the pairs that comparing all of them gives."""
+    p = substring_dedup.Passages()
+    places, hashes = np.arange(0, 90), np.full(90, 5, np.uint64)
+    at, keys = substring_dedup.round_seeds(places, hashes, p)
+    assert at[0] == 0 and at[-1] == 44 and max(np.diff(at)) <= 20 and len(set(keys.tolist())) == 1
+    assert set(keys.tolist()) == set(substring_dedup.round_seeds(np.arange(7, 80), np.full(73, 5, np.uint64), p)[1].tolist())
+    assert len(substring_dedup.round_seeds(np.arange(0, 40), np.full(40, 5, np.uint64), p)[0]) == 0
+    assert [i for i, _ in substring_dedup.places_kept(places, hashes, p)] == [0, 89]
+
+    rng = random.Random(4)
+    line = [rng.randrange(60_000) for _ in range(14)]
+    rows = []
+    for i in range(300):
+        left, right = ([rng.randrange(60_000) for _ in range(64)] for _ in range(2))
+        if i % 50 == 1:  # goes on as the one before does, with unequal words
+            right = [x if rng.random() < 0.9 else 7 for x in rows[-1][5]]
+        rows.append((i, 1000 + i, np.array(left + line + right, "<u2").tobytes(), [], 64, right))
+    rows = [r[:5] for r in rows]
+    assert substring_dedup.may_meet(rows, None, p) == substring_dedup.may_meet(rows, None, p, few=1000) == [(1000 + i, 999 + i) for i in range(1, 300, 50)]
